@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from graphloom.llm import near_duplicates_queries
+
+_MODULES = [near_duplicates_queries]
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLE.update(_module.ORACLE)
