@@ -28,7 +28,7 @@ Defined results for odd input
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
@@ -76,8 +76,6 @@ def link_classes(
     grams = classes.select("h", sequences(F.col("text"), gram).alias("grams"))
     each = grams.select("h", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     # one exchange serves the count and the rows it counts
-    from pyspark.sql import Window
-
     counted = each.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1 + extend
     sets = (

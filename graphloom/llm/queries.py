@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import near_duplicates_queries
+from graphloom.llm import encoding_queries, near_duplicates_queries, splitting_queries
 
-_MODULES = [near_duplicates_queries]
+_MODULES = [splitting_queries, near_duplicates_queries, encoding_queries]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
