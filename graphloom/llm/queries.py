@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import encoding_queries, near_duplicates_queries, splitting_queries
+from graphloom.llm import encoding_queries, near_duplicates_queries, splitting_queries, syntax_errors_queries
 
-_MODULES = [splitting_queries, near_duplicates_queries, encoding_queries]
+_MODULES = [splitting_queries, near_duplicates_queries, syntax_errors_queries, encoding_queries]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
