@@ -48,7 +48,7 @@ def _py_long(quote: str) -> str:
 PYTHON = Language(
     "python",
     re.compile(
-        r"#[^\n]*|(?:\b[rRbBfFuU]{1,2})?(?:%s|%s|%s|%s|\"\"\"|'''|[\"'])"
+        r"#[^\n]*|(?:\b[rRbBfFuU]{1,2})?(?:%s|%s|\"\"\"|'''|%s|%s|[\"'])"
         % (_py_long('"'), _py_long("'"), _py_string('"'), _py_string("'"))
     ),
     frozenset(

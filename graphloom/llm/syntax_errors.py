@@ -129,6 +129,14 @@ def _join_skeletons(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _large(rows: DataFrame, size: int) -> DataFrame:
+    # rows of one id that differ are different texts; equal ones are cut once
+    texts = rows.distinct().withColumn("text_id", F.xxhash64("file_id", "lang", F.md5("code")))
+    ids = texts.select("text_id", "file_id")
+    judged = _large_texts(texts.select(F.col("text_id").alias("file_id"), "lang", "code"), size)
+    return judged.withColumnRenamed("file_id", "text_id").join(ids, "text_id").select("file_id", "valid")
+
+
+def _large_texts(rows: DataFrame, size: int) -> DataFrame:
     parts = rows.mapInArrow(lambda it: _cut(it, size), "file_id long, lang string, seq int, part string")
     maps = parts.select("file_id", "lang", "seq", "part").mapInArrow(
         _maps, "file_id long, seq int, state string, exit string, brackets string"
