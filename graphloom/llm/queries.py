@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import credentials_queries, encoding_queries, file_origin_queries, function_docs_queries, near_duplicates_queries, splitting_queries, syntax_errors_queries
+from graphloom.llm import credentials_queries, encoding_queries, file_origin_queries, function_docs_queries, leakage_queries, near_duplicates_queries, quality_queries, splitting_queries, syntax_errors_queries
 
-_MODULES = [splitting_queries, credentials_queries, file_origin_queries, function_docs_queries, near_duplicates_queries, syntax_errors_queries, encoding_queries]
+_MODULES = [splitting_queries, credentials_queries, file_origin_queries, function_docs_queries, near_duplicates_queries, syntax_errors_queries, encoding_queries, leakage_queries, quality_queries]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
