@@ -84,7 +84,8 @@ def line_counts(line: str) -> list[int]:
     prose = 0
     common = sum(w.lower() in COMMON for w in ws)
     if bare:
-        body = _SPEAKER.sub("", bare, count=1)
+        speaker = _SPEAKER.match(bare)
+        body = bare[speaker.end() :] if speaker else bare
         for part in _SENTENCE.split(body):
             if part and _is_prose(part)[0]:
                 prose += sum(map(len, part.split()))
@@ -191,7 +192,7 @@ def _large(rows: DataFrame, size: int) -> DataFrame:
 
 
 def text_statistics(
-    texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1_000_000, prose_share: float = 0.4
+    texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1_000_000, prose_share: float = 0.25
 ) -> DataFrame:
     """One row per text: counts, ratios, and the class prose, list, table, junk or blank."""
     rows = (
