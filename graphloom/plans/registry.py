@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import hierarchy_queries
+from graphloom.plans import graph_queries, hierarchy_queries
 
-_MODULES = [hierarchy_queries]
+_MODULES = [hierarchy_queries, graph_queries]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
