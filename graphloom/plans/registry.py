@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph_queries, hierarchy_queries
+from graphloom.plans import graph_queries, hierarchy_queries, retrieval_queries
 
-_MODULES = [hierarchy_queries, graph_queries]
+_MODULES = [hierarchy_queries, graph_queries, retrieval_queries]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
