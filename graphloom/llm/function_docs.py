@@ -36,7 +36,7 @@ _STRING = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
 _PY_DEF = r"^\s*(?:async\s+)?def\s+\w+\s*\("
 _BRACE_DEF = (
     r"^\s*(?!(?:if|for|while|switch|catch|return|new|throw|else|do|try|synchronized|function\s*\(|await|yield)\b)"
-    r"(?:export\s+|default\s+)*(?:[\w$<>\[\],.?@&]+\s+)*(?:function\s*\*?\s*)?[\w$#]+\s*\([^;]*(?:\{\s*\}?\s*|,\s*|\(\s*|\)\s*)?$"
+    r"(?:export\s+|default\s+)*(?:[\w$<>\[\],.?@&]+\s+)*(?:function\s*\*?\s*)?[\w$#]+\s*\((?:[^;]*|[^;{]*\)[^;{]*\{.*)$"
 )
 _PRAGMA = (
     r"(?im)^\s*(?:noqa\b|type:\s*ignore|pylint:|fmt:|yapf:|isort:|ruff:|mypy:|nosonar|@?ts-[a-z]+|eslint|prettier|jshint|istanbul"

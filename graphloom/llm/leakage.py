@@ -28,7 +28,7 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,16 +57,26 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def item_words(items: list[tuple[int, str]], shared: int = 3) -> dict[int, list[str]]:
-    """The words of each item, without closing sentences that at least ``shared`` different items have."""
-    parts = {i: [p for p in _SENTENCE_END.split(t.strip()) if p] for i, t in items}
-    seen = {tuple(words(t)): i for i, t in items}
-    ends = Counter(tuple(words(parts[i][-1])) for i in seen.values() if parts[i])
+def closing(text: str) -> tuple[str, ...]:
+    """The words of a text's last sentence, if it has several."""
+    parts = [p for p in _SENTENCE_END.split(text.strip()) if p]
+    return tuple(words(parts[-1])) if len(parts) > 1 else ()
+
+
+def stock_closings(texts: Iterable[str], shared: int = 3) -> set[tuple[str, ...]]:
+    """Closing sentences that at least ``shared`` different items have."""
+    counts = Counter(c for t in set(texts) if (c := closing(t)))
+    return {c for c, n in counts.items() if n >= shared}
+
+
+def item_words(items: list[tuple[int, str]], stock: set[tuple[str, ...]]) -> dict[int, list[str]]:
+    """The words of each item, without closing sentences of the stock."""
     out = {}
-    for i, p in parts.items():
-        while len(p) > 1 and ends[tuple(words(p[-1]))] >= shared:
-            p = p[:-1]
-        out[i] = words(" ".join(p))
+    for i, text in items:
+        parts = [p for p in _SENTENCE_END.split(text.strip()) if p]
+        while len(parts) > 1 and tuple(words(parts[-1])) in stock:
+            parts.pop()
+        out[i] = words(" ".join(parts))
     return out
 
 
@@ -191,15 +201,17 @@ def find_leaks(
 
         return chosen.mapInArrow(go, schema)
 
+    # closings are counted over all items before the blocks are cut
+    stock = stock_closings(r["t"] for r in given.select("t").toLocalIterator())
     found = None
     buffer: list[tuple[int, str]] = []
     for row in given.orderBy("i").toLocalIterator():
         buffer.append((row["i"], row["t"]))
         if len(buffer) == block:
-            part = search(item_words(buffer))
+            part = search(item_words(buffer, stock))
             found = part if found is None else found.unionByName(part)
             buffer = []
     if buffer or found is None:
-        part = search(item_words(buffer))
+        part = search(item_words(buffer, stock))
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))

@@ -42,7 +42,7 @@ COMMON = frozenset(
 #: Frequent Chinese particles.
 HAN_COMMON = frozenset("的了在是和并就不会从这那个有对于把被与及而或其为之时到先再都上后")
 _COUNTS = (
-    "chars words letters word_chars common symbols digits spaces lines ended bullets pairs tables prose_chars solid_chars han"
+    "chars words letters word_chars common symbols digits spaces lines ended bullets pairs tables prose_chars solid_chars han tokens"
 ).split()
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
@@ -94,7 +94,7 @@ def line_counts(line: str) -> list[int]:
     return [
         len(line), len(ws), letters, sum(map(len, ws)), common, solid - letters - digits, digits, spaces,
         int(bool(bare)), int(bare.endswith(_ENDS)), int(bool(_BULLET.match(line))), int(bool(_PAIR.match(line))),
-        int(bool(_TABLE.match(bare)) and bool(bare)), prose, solid, han,
+        int(bool(_TABLE.match(bare)) and bool(bare)), prose, solid, han, len(line.split()),
     ]
 
 
@@ -215,6 +215,7 @@ def text_statistics(
         F.col("n_words"),
         F.col("n_lines"),
         ratio("n_word_chars", F.nullif("n_words", F.lit(0))).alias("mean_word_length"),
+        ratio("n_solid_chars", F.nullif("n_tokens", F.lit(0))).alias("mean_token_length"),
         ratio("n_symbols", solid).alias("symbol_ratio"),
         ratio("n_digits", solid).alias("digit_ratio"),
         ratio("n_common", F.nullif("n_words", F.lit(0))).alias("common_word_share"),
@@ -228,7 +229,7 @@ def text_statistics(
         F.when(F.col("prose_share").isNull(), "blank")
         .when(F.col("prose_share") >= prose_share, "prose")
         .when((F.col("table_line_share") + F.col("pair_line_share")) > 0.5, "table")
-        .when((F.col("symbol_ratio") + F.col("digit_ratio") > 0.35) | (F.col("mean_word_length") > 14), "junk")
+        .when((F.col("symbol_ratio") + F.col("digit_ratio") > 0.35) | (F.col("mean_token_length") > 20), "junk")
         .otherwise("list")
     )
     return stats.withColumn("quality", kind)

@@ -455,6 +455,10 @@ class Java:
         t = c.peek()
         if t in ("case", "default") and c.peek(1) != "(":
             self.label()
+            if c.toks[c.i - 1] == "->" and c.peek() not in ("throw", ""):
+                self.expr()  # the value of a rule
+                self.finish()
+                return "other"
             inner = self.statement()
             return "other" if inner == "empty" else inner
         if t == "n" and c.peek(1) == ":" and c.peek(2) != ":":

@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 
 CODE = "code"
+STRING, TEMPLATE = "\x02", "\x03"  # marks that no name can be mistaken for; S and T in the skeleton
 BAD = "\x01"  # a character that no lexer accepts: an open string, a stray quote
 _OPEN = {")": "(", "]": "[", "}": "{"}
 _BRACKETS = re.compile(r"[()\[\]{}]")
@@ -69,10 +70,10 @@ JAVA = Language(
         "abstract assert boolean break byte case catch char class continue default do double else enum extends final "
         "finally float for if implements import instanceof int interface long native new package private protected "
         "public record return short static strictfp super switch synchronized this throw throws transient try void volatile "
-        "while true false null goto const".split()
+        "while true false null goto const yield".split()
     ),
     {"/*": re.compile(r"[\s\S]*?\*/"), '"""': re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""')},
-    "S",
+    STRING,
 )
 JAVASCRIPT = Language(
     "javascript",
@@ -88,7 +89,7 @@ JAVASCRIPT = Language(
         "void while with yield get set".split()
     ),
     {"/*": re.compile(r"[\s\S]*?\*/"), "`": re.compile(r"(?:[^`\\]|\\[\s\S])*`")},
-    "S",
+    STRING,
 )
 LANGUAGES = {x.name: x for x in (PYTHON, JAVA, JAVASCRIPT)}
 
@@ -148,21 +149,21 @@ def strip_text(text: str, lang: Language, state: str = CODE) -> tuple[str, str]:
                     return "".join(out), "/*"
                 out.append("\n" if "\n" in token else " ")
                 continue
-            out.append("S")  # a regular expression
+            out.append(STRING)  # a regular expression
         elif token == "`" and lang is JAVASCRIPT:
             end = _template_end(text, m.start())
             if end < 0:
-                out.append("T")
+                out.append(TEMPLATE)
                 return "".join(out), "`"
-            out.append("T")
+            out.append(TEMPLATE)
             at = end
         elif first == "`" and len(token) > 1:
-            out.append("T")
+            out.append(TEMPLATE)
         elif lang is PYTHON and token.lstrip("rRbBfFuU") in lang.ends:
             out.append('""')
             return "".join(out), token[-3:]
         elif lang is JAVA and token.startswith('"""') and not token.endswith('"""'):
-            out.append("S")
+            out.append(STRING)
             return "".join(out), '"""'
         elif len(token.lstrip("rRbBfFuU")) == 1:
             out.append(token if token == "@" or token == "\\" and lang is PYTHON else BAD)
@@ -180,17 +181,16 @@ def skeleton(text: str, lang: Language, state: str = CODE) -> tuple[str, str]:
     bare, end = strip_text(text, lang, state)
     pieces = _WORD.split(bare)
     keep = lang.keywords
-    marks = ("S", "T")
     pieces[1::2] = [
         w
-        if w in keep or w in marks and lang is not PYTHON
+        if w in keep
         else ("n" if w[0] not in "0123456789." else ("0" if _NUMBER.fullmatch(w) else BAD))
         for w in pieces[1::2]
     ]
     if lang is PYTHON:
         # the marks of bytes are no names
         return "".join(pieces).replace('n""', 'b""'), end
-    return "".join(pieces), end
+    return "".join(pieces).replace(STRING, " S ").replace(TEMPLATE, " T "), end
 
 
 def brackets(text: str) -> str | None:
