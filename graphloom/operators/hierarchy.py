@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_and_count, cut_lineage
 
 
 def parent_links(
@@ -59,18 +59,16 @@ def cycles(links: DataFrame) -> DataFrame:
     links = cut_lineage(links)
     parents = links.select(F.col("parent").alias("p")).distinct()
     inner = links.join(parents, links.child == parents.p, "left_semi")
-    walks = cut_lineage(inner.groupBy("child").agg(F.collect_set("parent").alias("ups")))
-    left = walks.count()
+    walks, left = cut_and_count(inner.groupBy("child").agg(F.collect_set("parent").alias("ups")))
     while left:
         lower = walks.select("child", F.explode("ups").alias("mid"))
         upper = walks.select(F.col("child").alias("mid"), F.col("ups").alias("mid_ups"))
-        walks = cut_lineage(
+        walks, now = cut_and_count(
             lower.join(upper, "mid")
             .select("child", F.explode("mid_ups").alias("up"))
             .groupBy("child")
             .agg(F.collect_set("up").alias("ups"))
         )
-        now = walks.count()
         if now == left:
             break
         left = now
@@ -103,16 +101,17 @@ def _cycle_names(inner: DataFrame, fed: DataFrame) -> DataFrame:
     jump = cut_lineage(jump)
     while True:
         upper = jump.select(F.col("child").alias("up"), F.col("up").alias("next_up"), F.col("low").alias("next_low"))
-        jump = cut_lineage(
+        jump, moved = cut_and_count(
             jump.join(upper, "up").select(
                 "child",
                 F.col("next_up").alias("up"),
                 F.least("low", "next_low").alias("low"),
                 F.col("next_low").alias("cycle_id"),
                 (~F.col("next_low").eqNullSafe(F.col("cycle_id"))).alias("moved"),
-            )
+            ),
+            "moved",
         )
-        if not jump.where("moved").limit(1).count():
+        if not moved:
             return jump.select(F.col("child").alias("node_id"), "cycle_id")
         jump = jump.drop("moved")
 
@@ -134,8 +133,8 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id") -> DataFram
         .join(has_parent, "up", "left")
         .select("node_id", "up", "tail", F.coalesce("open", F.lit(False)).alias("open"))
     )
-    rows = cut_lineage(rows)
-    while rows.where("open").limit(1).count():
+    rows, left = cut_and_count(rows, "open")
+    while left:
         upper = rows.select(
             F.col("node_id").alias("up"),
             F.col("up").alias("next_up"),
@@ -152,7 +151,7 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id") -> DataFram
                 F.col("next_open").alias("open"),
             )
         )
-        rows = cut_lineage(rows.where(~F.col("open")).unionByName(moved))
+        rows, left = cut_and_count(rows.where(~F.col("open")).unionByName(moved), "open")
     inside = (
         rows.join(parent, "node_id")
         .select("node_id", "parent_id", F.col("up").alias("root_id"), F.concat(F.array("up"), "tail").alias("path"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_and_count, cut_lineage
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -42,8 +42,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "
             .join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
             .select("seed", "id", F.lit(depth).alias("depth"), "parent")
         )
-        frontier = cut_lineage(moved)
-        if not frontier.limit(1).count():
+        frontier, reached = cut_and_count(moved)
+        if not reached:
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -76,10 +76,10 @@ def ancestors(tree_edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFr
     level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct()
     out = level
     for k in range(1, max_depth + 1):
-        level = cut_lineage(
+        level, reached = cut_and_count(
             level.join(up, level.ancestor == up.child).select("id", F.col("above").alias("ancestor"), F.lit(k).alias("distance")).distinct()
         )
-        if not level.limit(1).count():
+        if not reached:
             break
         out = out.unionByName(level)
     return out.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
@@ -87,12 +87,10 @@ def ancestors(tree_edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFr
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """(src, dst) of all pairs with a way of one step or more; each round doubles the length of the ways."""
-    pairs = cut_lineage(edges.select("src", "dst").distinct())
-    count = pairs.count()
+    pairs, count = cut_and_count(edges.select("src", "dst").distinct())
     while True:
         longer = pairs.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid")
-        pairs = cut_lineage(pairs.unionByName(longer.select("src", "dst")).distinct())
-        now = pairs.count()
+        pairs, now = cut_and_count(pairs.unionByName(longer.select("src", "dst")).distinct())
         if now == count:
             return pairs
         count = now
