@@ -67,8 +67,10 @@ def _is_prose(part: str) -> tuple[bool, int, int]:
         return len(han) >= 4 and marks * 12 >= len(han), len(ws), common + marks
     solid = len(part) - part.count(" ")
     letters = sum(map(len, ws))
-    natural = common >= 2 and common * 5 >= len(ws) or common >= 1 and len(ws) >= 4 and part.endswith(_STOPS)
-    return natural and letters * 10 >= solid * 6, len(ws), common
+    n = len(ws)
+    natural = common >= 2 and common * (5 if n < 10 else 9) >= n or common >= 1 and n >= 4 and part.endswith(_STOPS)
+    # encoded bytes have words by chance, but hardly a space
+    return natural and letters * 10 >= solid * 6 and solid <= 14 * (part.count(" ") + 1), n, common
 
 
 def line_counts(line: str) -> list[int]:
