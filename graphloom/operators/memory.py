@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,12 +100,3 @@ def conflict_score(old_steps: Column, new_steps: Column, text: Column) -> Column
     strong = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(never|instead|deprecated|replace|wrong)\b"), 1))
     mild = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(change|update|adjust|optional)\b"), 1))
     return F.when(apart > 0.5, 0.3).otherwise(0.0) + F.least(strong, F.lit(3)) * 0.4 + F.least(mild, F.lit(3)) * 0.1
-
-
-def batches(rows: DataFrame, size: int) -> Iterator[DataFrame]:
-    """Rows in blocks, for stages that work block by block."""
-    w = Window.orderBy(*rows.columns[:1])
-    numbered = rows.withColumn("_b", F.floor((F.row_number().over(w) - 1) / size))
-    last = numbered.agg(F.max("_b").alias("b")).first()["b"]
-    for k in range((last if last is not None else -1) + 1):
-        yield numbered.where(F.col("_b") == k).drop("_b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,23 +60,25 @@ def jaccard(documents: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest vectors of each query, exactly.
 
-    The queries are a stated set that is held against all rows; the join has the
-    query side on every executor, and only k rows a query leave a partition.
+    The queries are a stated set that is held against all rows, in blocks of about
+    ``block`` queries, each of which is broadcast; only k rows a query leave a
+    partition.
     """
-    pairs = vectors.join(F.broadcast(queries), F.lit(True), "inner") if _few(queries) else vectors.crossJoin(queries)
-    scored = pairs.where("vec_id <> query_id").select(
-        "query_id", "vec_id", V.cosine_distance(F.col("embedding"), F.col("query_vec")).alias("distance")
-    )
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = vectors.join(F.broadcast(some), vectors.vec_id != some.query_id)
+        parts.append(
+            pairs.select("query_id", "vec_id", V.cosine_distance(F.col("embedding"), F.col("query_vec")).alias("distance"))
+        )
+    scored = reduce(DataFrame.unionByName, parts)
     return top_k(scored, ["query_id"], [F.col("distance"), F.col("vec_id")], k)
 
 
-def _few(rows: DataFrame, limit: int = 20_000) -> bool:
-    return rows.limit(limit + 1).count() <= limit
-
-
 def rrf(dense: DataFrame, sparse: DataFrame, keys: list[str], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two rankings (keys, rank): distances in [0, 1], lower is better."""
     both = dense.select(*keys, F.col("rank").alias("rd")).join(sparse.select(*keys, F.col("rank").alias("rs")), keys, "full")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
 #: What kind of document an extension stands for.
 DOCUMENT_KINDS = {
     "txt": "text", "md": "text", "json": "text", "xml": "text", "yaml": "text", "yml": "text", "log": "text", "csv": "csv", "pdf": "pdf",
@@ -43,15 +45,26 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decode(F.col("content")).alias("text"))
 
 
-def csv_text(rows: DataFrame, order: list[str]) -> DataFrame:
-    """(row_no, text): each row as ``Row i:`` and ``name: value`` pairs; nulls are left out."""
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``row_no``, counting from 1 in the given order.
+
+    The rows are sorted by ranges and numbered within each; the sizes of the ranges
+    before, one number each, are added. So no task sees all rows.
+    """
     from pyspark.sql import Window
 
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn("_local", local).join(before, "_p").select(*rows.columns, (F.col("_local") + F.col("_before")).alias("row_no"))
+
+
+def csv_text(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(row_no, text): each row as ``Row i:`` and ``name: value`` pairs; nulls are left out."""
     pairs = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in rows.columns]
-    no = F.row_number().over(Window.orderBy(*order))
-    return rows.select(no.alias("row_no"), F.concat_ws(", ", *pairs).alias("pairs")).select(
-        "row_no", F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(":\n"), F.col("pairs")).alias("text")
-    )
+    text = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(":\n"), F.concat_ws(", ", *pairs))
+    return numbered(rows, order).select("row_no", text.alias("text"))
 
 
 def dataset_of(path: Column) -> Column:

@@ -173,5 +173,7 @@ def test_api(spark, rows):
     with pytest.raises(ValueError):
         api.read_query(spark, "drop table x")
     assert api.read_query(spark, "select 1 as x").count() == 1
+    vectors_ = api.VectorStore(spark.createDataFrame([("c", "a", "x", [1.0, 0.0]), ("c", "b", "y", [0.0, 1.0]), ("d", "z", "z", [1.0, 0.0])], "collection string, id string, text string, vec array<double>"))
+    assert rows(vectors_.search("c", [1.0, 0.1], 1), "id") == [("a",)]
     docs = spark.createDataFrame([(1, "red fox"), (2, "blue sky")], "doc_id long, text string")
     assert api.recall("lexical", "fox", chunks=docs).first().doc_id == 1
