@@ -70,7 +70,7 @@ def link_classes(
     """(h_a, h_b, similarity) of the classes of copies that are similar, h_a < h_b.
 
     ``rows`` has a class ``h`` and its ``text``. An element in at most ``rare``
-    classes is indexed alone.
+    classes, or in fewer than half as many as the set has elements, is indexed alone.
     """
     classes = rows.groupBy("h").agg(F.max("text").alias("text"))
     grams = classes.select("h", sequences(F.col("text"), gram).alias("grams"))
@@ -86,12 +86,13 @@ def link_classes(
     )
     sets = cut_lineage(sets)
     head = sets.select("h", "n", F.slice("items", 1, F.col("indexed")).alias("head"))
-    alone = head.select("h", "n", F.explode("head").alias("x")).where(f"x.df <= {rare} or n <= 8").select(
+    # similar sets differ in size by the threshold at most: with these two bounds, an element that two of them share is
+    # indexed alone in both or takes part in pairs in both, and long sets make few pairs
+    alone = head.select("h", "n", F.explode("head").alias("x")).where(f"x.df <= greatest({rare}, n / 2) or n <= 8").select(
         "h", "n", F.col("x.g").alias("sig")
     )
-    often = head.select(
-        "h", "n", F.array_sort(F.transform(F.filter("head", lambda x: x.df > rare), lambda x: x.g)).alias("often")
-    ).where("size(often) > 1")
+    frequent = F.filter("head", lambda x: x.df > F.greatest(F.lit(rare), F.col("n") * threshold / 2))
+    often = head.select("h", "n", F.array_sort(F.transform(frequent, lambda x: x.g)).alias("often")).where("size(often) > 1")
     paired = often.select("h", "n", "often", F.posexplode("often").alias("at", "first")).select(
         "h",
         "n",
