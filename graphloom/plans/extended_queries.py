@@ -70,7 +70,10 @@ def property_nodes(spark, sf_dir):
     return lines.select("file_path", key.alias("key"), value.alias("value")).where("key <> ''").distinct()
 
 
-@catalog.query()
+@catalog.query(
+    """WITH t AS (SELECT DISTINCT file_path, unnest(regexp_extract_all(code, '<property name="[^"]*" value="[^"]*"/>')) AS tag FROM source_files WHERE file_path LIKE '%.xml' AND code IS NOT NULL)
+SELECT DISTINCT file_path, regexp_extract(tag, 'name="([^"]*)"', 1) AS key, regexp_extract(tag, 'value="([^"]*)"', 1) AS value FROM t"""
+)
 def xml_nodes(spark, sf_dir):
     """Named properties of XML settings as nodes."""
     rows = table(spark, sf_dir, "source_files").where(F.col("file_path").endswith(".xml") & F.col("code").isNotNull())

@@ -494,7 +494,12 @@ def callsite_owner(spark, sf_dir):
     return near.select("id", "b.owner", "b.distance")
 
 
-@catalog.query()
+@catalog.query(
+    f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT src AS u, dst AS v FROM e WHERE edge_type = 'CALLS'),
+r AS (SELECT id AS seed, id, 0 AS depth FROM {_SEED_SQL} UNION SELECT r.seed, w.v, r.depth + 1 FROM r JOIN w ON w.u = r.id WHERE r.depth < 3),
+d AS (SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id)
+SELECT d.seed, d.id, d.depth, min(p.id) AS parent FROM d LEFT JOIN w ON w.v = d.id LEFT JOIN d p ON p.seed = d.seed AND p.id = w.u AND p.depth = d.depth - 1 GROUP BY 1, 2, 3"""
+)
 def spanning_tree(spark, sf_dir):
     """Breadth-first tree of the call graph from each source, with the parent of each node."""
     return traversal.reach(code_edges(spark, sf_dir, "CALLS"), _sources(spark, sf_dir), 3)
