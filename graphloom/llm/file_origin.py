@@ -62,10 +62,6 @@ _LONG_BLOB = r"[\"'`][A-Za-z0-9+/=\\]{400,}+[\"'`]"
 _LONG_LINE = r"(?m)^[^\n]{300,}+$"
 
 
-def comment_pattern(lang: Column) -> Column:
-    return F.when(lang == "python", F.lit(r"#[^\n]*")).otherwise(F.lit(r"(?s:/\*.*?\*/)|//[^\n]*"))
-
-
 def content_key(code: Column, lang: Column) -> Column:
     """The text without comments and white space, by which copies are known; empty if nothing is left."""
     python = F.regexp_replace(code, r"#[^\n]*|\s+", "")
@@ -91,7 +87,7 @@ def signals(files: DataFrame, *, id_col="file_id", path_col="file_path", project
     marks = F.length(long) - F.length(F.regexp_replace(long, "[;{}]", ""))
     total = F.length("code")
     data = total - F.length(F.regexp_replace(F.regexp_replace("code", _DATA_LINE, ""), _LONG_BLOB, ""))
-    dirs = F.transform(F.split(F.lower("path"), "/"), lambda x: x)
+    dirs = F.split(F.lower("path"), "/")
     in_foreign = F.arrays_overlap(F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0))), F.array(*map(F.lit, FOREIGN_DIRS)))
     lines = F.array(
         F.when(in_foreign | head.rlike(_THIRD), F.lit("third-party")),
