@@ -83,3 +83,15 @@ def path_after(base: str, url: Column) -> Column:
     base_path, path = F.rtrim(F.coalesce(F.parse_url(b, F.lit("PATH")), F.lit("")), F.lit("/")), F.parse_url(url, F.lit("PATH"))
     same = F.parse_url(url, F.lit("HOST")) == F.parse_url(b, F.lit("HOST"))
     return F.when(same, F.when(path.startswith(base_path), F.substr(path, F.length(base_path) + 1)).otherwise(path))
+
+
+def openapi_endpoints(specs: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(file, endpoint, method, operation_id): one row per path and method of JSON interface descriptions.
+
+    Texts that aren't such a description give no row; keys of a path that aren't methods are left out.
+    """
+    methods = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+    paths = F.from_json(F.get_json_object(text_col, "$.paths"), "map<string,map<string,string>>")
+    routes = specs.select(F.col(path_col).alias("file"), F.explode(paths).alias("endpoint", "operations"))
+    calls = routes.select("file", "endpoint", F.explode("operations").alias("method", "body")).where(F.lower("method").isin(*methods))
+    return calls.select("file", "endpoint", F.upper("method").alias("method"), F.get_json_object("body", "$.operationId").alias("operation_id"))

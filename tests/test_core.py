@@ -149,6 +149,12 @@ def test_sources(spark, rows, tmp_path):
     assert rows(relational.value_edges(df, t)) == [("t:1", "t:v:v", "v")]
 
 
+def test_openapi(spark, rows):
+    spec = '{"openapi": "3.0.0", "paths": {"/a": {"get": {"operationId": "readA"}, "parameters": []}, "/b/{id}": {"post": {}, "delete": {"operationId": "dropB"}}}}'
+    df = spark.createDataFrame([("s.json", spec), ("x.json", "{}"), ("y.json", None), ("z.json", "no json")], "path string, text string")
+    assert rows(files.openapi_endpoints(df), "endpoint", "method", "operation_id") == [("/a", "GET", "readA"), ("/b/{id}", "DELETE", "dropB"), ("/b/{id}", "POST", None)]
+
+
 def test_evaluation(spark, rows):
     expected = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "query_id int, type string, id string")
     results = spark.createDataFrame([(1, "a", 1), (2, "b", 3)], "query_id int, id string, rank int")
