@@ -98,9 +98,11 @@ def content_identity(spark, sf_dir):
 SELECT host, count(*) AS n_urls FROM h GROUP BY host"""
 )
 def url_hosts(spark, sf_dir):
-    urls = table(spark, sf_dir, "source_files").where(F.col("code").contains("http")).select(F.regexp_extract("code", r"https?://[^\s\"'<>]+", 0).alias("url")).distinct()
+    """The hosts of all URLs of every file, with the number of different URLs."""
+    found = F.regexp_extract_all("code", F.lit(r"https?://[^\s\"'<>]+"), F.lit(0))
+    urls = table(spark, sf_dir, "source_files").where(F.col("code").contains("http")).select(F.explode(found).alias("url")).distinct()
     host = F.regexp_extract("url", r"https?://(?:[^/@]*@)?([^/:?#]+)", 1)
-    return urls.where("url <> ''").groupBy(host.alias("host")).agg(F.count("*").alias("n_urls"))
+    return urls.groupBy(host.alias("host")).agg(F.count("*").alias("n_urls"))
 
 
 @catalog.query("SELECT src, relationship_name, dst FROM (SELECT DISTINCT src, relationship_name, dst FROM memory_edges) ORDER BY src, relationship_name, dst LIMIT 25 OFFSET 50")

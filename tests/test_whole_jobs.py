@@ -1,0 +1,16 @@
+"""Queries over tables of a few rows that hold what the test tables don't."""
+
+import __spark_entry__ as entry
+
+
+def run(name, spark, folder, **tables):
+    """The query over the given tables, each (rows, schema)."""
+    for table, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+    return entry.queries()[name](spark, str(folder))
+
+
+def test_all_urls_of_a_file_count(spark, rows, tmp_path):
+    files = [("see http://a.org/1, 'https://u@b.org:80/2' and\n<http://a.org/3>",), ("http://a.org/3 http://b.org",), ("http: none",), (None,)]
+    got = run("url_hosts", spark, tmp_path, source_files=(files, "code string"))
+    assert rows(got, "host", "n_urls") == [("a.org", 2), ("b.org", 2)]
