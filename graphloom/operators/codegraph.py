@@ -230,9 +230,18 @@ def python_graph(files: DataFrame, *, path_col: str = "file_path", code_col: str
 
 
 def resolve_calls(nodes: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
-    """(src, dst) of calls by name: plain names to at most ``most`` definitions, attributes only to a unique one; never to itself."""
-    defs = nodes.where("node_type = 'function_definition'").select(F.col("node_name").alias("callee"), F.col("id").alias("target"))
+    """(src, dst) of calls by name; never to itself.
+
+    Plain names go to at most ``most`` definitions, or, if there are more, to at most ``most`` in
+    the caller's file; attributes only to a unique definition.
+    """
+    defs = nodes.where("node_type = 'function_definition'").select(F.col("node_name").alias("callee"), F.col("id").alias("target"), "file_path")
     defs = defs.withColumn("n", F.count("*").over(Window.partitionBy("callee")))
-    calls = edges.where("edge_type = 'CALLS'").select("src", F.col("dst").alias("callee"), "detail").distinct()
-    hits = calls.join(defs, "callee").where(F.when(F.col("detail") == "attribute", F.col("n") == 1).otherwise(F.col("n") <= most))
+    defs = defs.withColumn("here", F.count("*").over(Window.partitionBy("callee", "file_path"))).where(F.least("n", "here") <= most)
+    # a common name is joined within its file only, so its calls and definitions aren't paired across files
+    place = F.when(F.col("common"), F.col("file_path")).otherwise("")
+    defs = defs.withColumn("common", F.col("n") > most).withColumn("place", place).drop("file_path")
+    calls = edges.where("edge_type = 'CALLS'").select("src", F.col("dst").alias("callee"), "detail", "file_path").distinct()
+    calls = calls.withColumn("common", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("place", place).drop("file_path")
+    hits = calls.join(defs, ["callee", "common", "place"]).where(F.when(F.col("detail") == "attribute", F.col("n") == 1).otherwise(True))
     return hits.where("src <> target").select("src", F.col("target").alias("dst")).distinct()

@@ -243,13 +243,18 @@ def resolve_inheritance(spark, sf_dir):
 k AS (SELECT c.callee, t.id, count(*) OVER (PARTITION BY c.callee) AS n FROM c JOIN t ON t.node_name = c.callee) SELECT callee, id FROM k WHERE n <= 32"""
 )
 def resolve_calls_by_name(spark, sf_dir):
-    """A callee's name resolves to all definitions of the name, if there are at most 32."""
+    """A callee's name resolves to all definitions of the name if there are at most 32, else to those in a caller's file if they are at most 32."""
     from graphloom.session import table
 
-    callees = table(spark, sf_dir, "edges").select("callee").where("callee is not null").distinct()
-    methods = code_nodes(spark, sf_dir, "node_type", "node_name").where(_method()).select("id", F.col("node_name").alias("callee"))
-    w = Window.partitionBy("callee")
-    return callees.join(methods, "callee").withColumn("n", F.count("*").over(w)).where("n <= 32").select("callee", "id")
+    edges = table(spark, sf_dir, "edges").select("src", "callee").where("callee is not null")
+    callees = edges.select("callee").distinct()
+    nodes = code_nodes(spark, sf_dir, "node_type", "node_name", "file_path")
+    methods = nodes.where(_method()).select("id", F.col("node_name").alias("callee"), "file_path").join(callees, "callee", "left_semi")
+    methods = methods.withColumn("n", F.count("*").over(Window.partitionBy("callee")))
+    common = methods.where("n > 32").withColumn("here", F.count("*").over(Window.partitionBy("callee", "file_path")))
+    places = edges.join(nodes.select(F.col("id").alias("src"), "file_path"), "src").select("callee", "file_path").distinct()
+    near = common.where("here <= 32").join(places, ["callee", "file_path"], "left_semi")
+    return methods.where("n <= 32").select("callee", "id").unionByName(near.select("callee", "id"))
 
 
 @catalog.query(

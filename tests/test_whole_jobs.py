@@ -1,6 +1,9 @@
 """Queries over tables of a few rows that hold what the test tables don't."""
 
+import pytest
+
 import __spark_entry__ as entry
+from graphloom.operators import codegraph
 
 
 def run(name, spark, folder, **tables):
@@ -14,3 +17,31 @@ def test_all_urls_of_a_file_count(spark, rows, tmp_path):
     files = [("see http://a.org/1, 'https://u@b.org:80/2' and\n<http://a.org/3>",), ("http://a.org/3 http://b.org",), ("http: none",), (None,)]
     got = run("url_hosts", spark, tmp_path, source_files=(files, "code string"))
     assert rows(got, "host", "n_urls") == [("a.org", 2), ("b.org", 2)]
+
+
+def test_common_names_resolve_within_the_file(spark, rows, tmp_path):
+    def method(key, name, path):
+        return (key, "method_definition", name, path, None)
+
+    nodes = [method(f"run{k}", "run", f"{k}.py") for k in range(33)] + [method(f"get{k}", "get", f"{k}.py") for k in range(32)]
+    nodes += [method(f"put{k}", "put", "1.py") for k in range(33)] + [method("main", "main", "1.py"), method("other", "other", "none.py")]
+    edges = [("main", "run"), ("main", "put"), ("other", "run"), ("other", "get"), ("other", None)]
+    got = run(
+        "resolve_calls_by_name",
+        spark,
+        tmp_path,
+        nodes=(nodes, "id string, node_type string, node_name string, file_path string, loaded_at timestamp"),
+        edges=(edges, "src string, callee string"),
+    )
+    assert rows(got, "callee", "id") == sorted([("get", f"get{k}") for k in range(32)] + [("run", "run1")])
+
+
+@pytest.mark.parametrize(("detail", "dst"), [("name", [("1.main", "1.run")]), ("attribute", [])])
+def test_calls_of_common_names(spark, rows, detail, dst):
+    nodes = [(f"{k}.py", f"{k}.run", "function_definition", "run") for k in range(33)] + [("1.py", "1.main", "function_definition", "main")]
+    edges = [("1.py", "1.main", "run", "CALLS", detail), ("99.py", "99.main", "run", "CALLS", detail)]
+    got = codegraph.resolve_calls(
+        spark.createDataFrame(nodes, "file_path string, id string, node_type string, node_name string"),
+        spark.createDataFrame(edges, "file_path string, src string, dst string, edge_type string, detail string"),
+    )
+    assert rows(got, "src", "dst") == dst
