@@ -7,7 +7,8 @@ known, chunks become skeletons, whose statements are parsed by local grammars,
 each different statement once. A file of up to ``chunk_chars`` characters is one
 chunk with a known entry state, so it is finished where it is read, without a
 shuffle. Longer files are cut, their maps are made in parallel, reduced per file,
-and the skeletons joined.
+and the skeletons joined. In files of any length, what the local grammar of Python
+rejects is confirmed by the exact parser on the whole text.
 
 Defined results for odd input
 -----------------------------
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.syntax import files as checks
 from graphloom.llm.syntax.lexing import CODE, LANGUAGES, chunk_map, chunks, compose_maps, skeleton
+from graphloom.session import cut_lineage
 
 #: File extensions and what they are written in.
 EXTENSIONS = {
@@ -128,12 +130,24 @@ def _join_skeletons(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "valid": [ok]})
 
 
+def _confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        verdicts = [checks.python_exact(checks.normal(code)) for code in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.bool_())], names=["file_id", "valid"])
+
+
 def _large(rows: DataFrame, size: int) -> DataFrame:
     # rows of one id that differ are different texts; equal ones are cut once
     texts = rows.distinct().withColumn("text_id", F.xxhash64("file_id", "lang", F.md5("code")))
-    ids = texts.select("text_id", "file_id")
-    judged = _large_texts(texts.select(F.col("text_id").alias("file_id"), "lang", "code"), size)
-    return judged.withColumnRenamed("file_id", "text_id").join(ids, "text_id").select("file_id", "valid")
+    ids = texts.select("text_id", "file_id", "lang")
+    judged = cut_lineage(_large_texts(texts.select(F.col("text_id").alias("file_id"), "lang", "code"), size))
+    judged = judged.withColumnRenamed("file_id", "text_id").join(ids, "text_id")
+    # as in small files, the exact parser confirms on the whole text what the local grammar of Python rejects
+    rejected = ~F.col("valid") & (F.col("lang") == "python")
+    doubted = judged.where(rejected).select("text_id")
+    again = texts.where("lang = 'python'").join(doubted, "text_id", "left_semi").select("file_id", "code")
+    exact = again.mapInArrow(_confirm, "file_id long, valid boolean")
+    return judged.where(~rejected).select("file_id", "valid").unionByName(exact)
 
 
 def _large_texts(rows: DataFrame, size: int) -> DataFrame:

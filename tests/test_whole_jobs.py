@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from graphloom.llm import syntax_errors
 from graphloom.operators import codegraph
 
 
@@ -45,3 +46,11 @@ def test_calls_of_common_names(spark, rows, detail, dst):
         spark.createDataFrame(edges, "file_path string, src string, dst string, edge_type string, detail string"),
     )
     assert rows(got, "src", "dst") == dst
+
+
+def test_long_python_files_are_judged_like_short_ones(spark, rows):
+    codes = ["x = 1or 2\n", "1if y else 2\r\n", "x = (1]\n", "y = 1\n", "f(1\n", "def f(:\n  pass\n"]
+    data = [(k, "a.py", "python", code) for k, code in enumerate(codes)] + [(9, "a.java", "java", "class A { int x = 1 int y; }"), (0, "a.py", "python", codes[0])]
+    df = spark.createDataFrame(data, "file_id long, file_path string, language string, code string")
+    for size in (1_000_000, 8):
+        assert rows(syntax_errors.invalid_files(df, chunk_chars=size)) == [(2,), (4,), (5,), (9,)]
