@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,32 +67,54 @@ def merge_times(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def greedy_clusters(rows: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:
-    """(group, id, seed): in the order of ids each vector joins the first seed it is similar to, or becomes one.
-
-    The order decides, so a group is one sequence; groups are facets, whose number
-    of points is small by construction.
+def _join_seeds(block: np.ndarray, ids: list, seeds: list[tuple[np.ndarray, list]], threshold: float) -> list:
+    """The seed of each vector of a block; new seeds are added to those of the blocks before, as (vectors, ids)."""
+    hits: list = [None] * len(ids)
+    left = np.arange(len(ids))
+    for vectors, names in seeds:
+        near = block[left] @ vectors.T >= threshold
+        found = near.any(axis=1)
+        for k, first in zip(left[found], near[found].argmax(axis=1)):
+            hits[k] = names[first]
+        left = left[~found]
+        if not len(left):
+            return hits
+    fresh: list[int] = []
+    for k in left:
+        near = block[fresh] @ block[k] >= threshold if fresh else np.zeros(0, bool)
+        if near.any():
+            hits[k] = ids[fresh[near.argmax()]]
+        else:
+            hits[k] = ids[k]
+            fresh.append(k)
+    seeds.append((block[fresh], [ids[k] for k in fresh]))
+    return hits
+
+
+def greedy_clusters(rows: DataFrame, group: str, threshold: float = 0.92, block: int = 512) -> DataFrame:
+    """(group, id, seed): in the order of ids each vector joins the first seed of its group it is similar to, or becomes one.
+
+    The order decides, so a whole group is one sequence. It is read in blocks, which are
+    compared with all seeds found so far; of a group only the seeds are kept in memory.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("id")
-        seeds: list = []
-        out = []
-        for i, vec in zip(pdf["id"], pdf["vec"]):
-            v = np.asarray(vec, dtype="float64")
-            norm = float(np.linalg.norm(v))
-            v = v / norm if norm else v
-            hit = next((s for s, w in seeds if float(v @ w) >= threshold), None)
-            if hit is None:
-                seeds.append((i, v))
-                hit = i
-            out.append((pdf[group].iloc[0], i, hit))
-        return pd.DataFrame(out, columns=[group, "id", "seed"])
-
     kinds = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, id {kinds['id']}, seed {kinds['id']}")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seeds = object(), []
+        for batch in it:
+            keys, ids, vecs = (batch.column(i).to_pylist() for i in range(3))
+            out: list = []
+            while (k := len(out)) < len(ids):
+                if keys[k] != current:
+                    current, seeds = keys[k], []
+                end = next((j for j in range(k, min(k + block, len(ids))) if keys[j] != current), min(k + block, len(ids)))
+                vectors = np.array(vecs[k:end], dtype="float64")
+                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                out += _join_seeds(vectors / np.where(norms == 0, 1, norms), ids[k:end], seeds, threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(1).type)], names=[group, "id", "seed"])
+
+    ordered = rows.select(group, "id", "vec").repartition(group).sortWithinPartitions(group, "id")
+    return ordered.mapInArrow(run, f"`{group}` {kinds[group]}, id {kinds['id']}, seed {kinds['id']}")
 
 
 def conflict_score(old_steps: Column, new_steps: Column, text: Column) -> Column:

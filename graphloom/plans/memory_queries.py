@@ -224,11 +224,9 @@ def token_counts(spark, sf_dir):
 
 @catalog.query()
 def semantic_dedup(spark, sf_dir):
-    """Greedy clusters of similar vectors, by label and bucket of ids."""
-    rows = table(spark, sf_dir, "embeddings").select(
-        F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string")).alias("bucket"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
-    )
-    return memory.greedy_clusters(rows, "bucket")
+    """Greedy clusters of similar vectors among all of one label."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return memory.greedy_clusters(rows, "label")
 
 
 @catalog.query()

@@ -1,10 +1,11 @@
 """Queries over tables of a few rows that hold what the test tables don't."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from graphloom.llm import syntax_errors
-from graphloom.operators import codegraph
+from graphloom.operators import codegraph, memory
 
 
 def run(name, spark, folder, **tables):
@@ -54,3 +55,22 @@ def test_long_python_files_are_judged_like_short_ones(spark, rows):
     df = spark.createDataFrame(data, "file_id long, file_path string, language string, code string")
     for size in (1_000_000, 8):
         assert rows(syntax_errors.invalid_files(df, chunk_chars=size)) == [(2,), (4,), (5,), (9,)]
+
+
+def test_similar_vectors_of_a_label_meet_whatever_their_ids(spark, rows, tmp_path):
+    data = [(3, [1.0, 0.0], 1), (499, [0.0, 1.0], 1), (500, [0.99, 0.01], 1), (9000, [0.0, 2.0], 1), (501, [1.0, 0.0], 2), (502, [1.0, 0.0], None), (2000, [1.0, 0.0], None)]
+    got = run("semantic_dedup", spark, tmp_path, embeddings=(data, "vec_id long, embedding array<float>, label int"))
+    assert rows(got, "id", "seed") == sorted([(3, 3), (499, 499), (500, 3), (501, 501), (502, 502), (2000, 502), (9000, 499)], key=str)
+
+
+def test_blocks_of_a_group_are_one_sequence(spark, rows):
+    vecs = np.random.default_rng(7).normal(size=(300, 3))
+    want, seeds = [], []
+    for k, v in enumerate(vecs / np.linalg.norm(vecs, axis=1, keepdims=True)):
+        hit = next((s for s, w in seeds if v @ w >= 0.92), None)
+        if hit is None:
+            seeds.append((hit := k, v))
+        want.append((k, hit))
+    df = spark.createDataFrame([("g", k, v.tolist()) for k, v in enumerate(vecs)], "g string, id long, vec array<double>").repartition(3)
+    for block in (7, 512):
+        assert rows(memory.greedy_clusters(df, "g", block=block), "id", "seed") == sorted(want, key=str)
