@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.functions import timeparse
 from graphloom.operators import retrieval as R
+from graphloom.operators import traversal
 from graphloom.plans.catalog import EDGES_SQL, MEMORY_SQL, NODES_SQL, Catalog
 from graphloom.sources.graph_tables import code_edges, code_nodes, memory_edges, memory_nodes
 from graphloom.session import table
@@ -206,12 +207,12 @@ m AS (SELECT c.owner, c.method, n.node_name FROM c JOIN n ON n.id = c.method), k
 SELECT DISTINCT k.src, o.method AS dst FROM k JOIN m b ON b.method = k.dst JOIN i ON i.parent = b.owner JOIN m o ON o.owner = i.child AND o.node_name = b.node_name"""
 )
 def polymorphic_calls(spark, sf_dir):
-    """Calls of a method extended to the methods of its name in implementing classes."""
+    """Calls of a method extended to the methods of its name in classes that implement its own over any number of steps."""
     names = code_nodes(spark, sf_dir, "node_name").select(F.col("id").alias("method"), "node_name")
     methods = code_edges(spark, sf_dir, "PARENT_OF").select(F.col("src").alias("owner"), F.col("dst").alias("method")).join(names, "method")
     base = methods.select(F.col("owner").alias("parent"), F.col("method").alias("called"), "node_name")
     over = methods.select(F.col("owner").alias("child"), F.col("method").alias("dst"), "node_name")
-    kinds = code_edges(spark, sf_dir, "IMPLEMENTS").select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    kinds = traversal.transitive_closure(code_edges(spark, sf_dir, "IMPLEMENTS")).select(F.col("src").alias("child"), F.col("dst").alias("parent"))
     calls = code_edges(spark, sf_dir, "CALLS").select("src", F.col("dst").alias("called"))
     return calls.join(base, "called").join(kinds, "parent").join(over, ["child", "node_name"]).select("src", "dst").distinct()
 

@@ -74,3 +74,17 @@ def test_blocks_of_a_group_are_one_sequence(spark, rows):
     df = spark.createDataFrame([("g", k, v.tolist()) for k, v in enumerate(vecs)], "g string, id long, vec array<double>").repartition(3)
     for block in (7, 512):
         assert rows(memory.greedy_clusters(df, "g", block=block), "id", "seed") == sorted(want, key=str)
+
+
+def test_polymorphic_calls_reach_grandchildren(spark, rows, tmp_path):
+    names = {"A": "A", "B": "B", "C": "C", "D": "D", "A.run": "run", "B.run": "run", "C.run": "run", "D.run": "run", "C.stop": "stop", "caller": "caller"}
+    edges = [("caller", "A.run", "CALLS"), ("B", "A", "IMPLEMENTS"), ("C", "B", "IMPLEMENTS"), ("D", "A", "DEPENDS_ON")]
+    edges += [(m[0], m, "PARENT_OF") for m in names if "." in m]
+    got = run(
+        "polymorphic_calls",
+        spark,
+        tmp_path,
+        nodes=([(key, name, None) for key, name in names.items()], "id string, node_name string, loaded_at timestamp"),
+        edges=(edges, "src string, dst string, edge_type string"),
+    )
+    assert rows(got, "src", "dst") == [("caller", "B.run"), ("caller", "C.run")]
