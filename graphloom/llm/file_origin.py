@@ -41,7 +41,11 @@ FOREIGN_DIRS = (
     "vendor vendored third_party third-party thirdparty 3rdparty node_modules bower_components external externals extern "
     "site-packages dist-packages"
 ).split()
-_HEAD = r"^﻿?(?:[ \t]*(?:#|//|/\*|\*|@|package |<!--)[^\n]*(?:\n|$)|[ \t\r]*\n){1,12}"
+# leading comments and blank lines, in Python with the module's docstring; possessive, as Java's other repeats recurse
+_REMARK = r"(?:[ \t]*+(?:(?s:/\*.*?\*/)|#|//|/\*|\*|@|package |<!--)[^\n]*+(?:\n|$)|[ \t\r]*+\n)"
+_DOCSTRING = r"(?:[rRuU]?+(?:(?s:\"\"\".*?\"\"\"|'''.*?''')|\"[^\"\n]++\"|'[^'\n]++')[^\n]*+(?:\n|$))"
+_HEAD = rf"^\x{{FEFF}}?{_REMARK}++"
+_PYTHON_HEAD = rf"^\x{{FEFF}}?{_REMARK}*+{_DOCSTRING}?+{_REMARK}*+"
 _GENERATED = (
     r"(?im)@generated\b|\bauto-?generated\b(?! method)"
     r"|\b(?:code|file|source|sources|class|module|output)(?: is| was| has been)?(?: automatically| auto)? ?"
@@ -81,7 +85,7 @@ def signals(files: DataFrame, *, id_col="file_id", path_col="file_path", project
     ).where("file_id is not null")
     code = F.col("code")
     keyed = base.withColumn("text", F.when(F.col("lang").isin(*CODE), content_key(code, F.col("lang"))))
-    head = F.regexp_extract("code", _HEAD, 0)
+    head = F.when(F.col("lang") == "python", F.regexp_extract("code", _PYTHON_HEAD, 0)).otherwise(F.regexp_extract("code", _HEAD, 0))
     long = F.array_join(F.regexp_extract_all("code", F.lit(_LONG_LINE), 0), "")
     # only scripts can be minified; strings hold few of these marks
     marks = F.length(long) - F.length(F.regexp_replace(long, "[;{}]", ""))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.llm import syntax_errors
+from graphloom.llm import file_origin, syntax_errors
 from graphloom.operators import codegraph, memory
 
 
@@ -88,3 +88,18 @@ def test_polymorphic_calls_reach_grandchildren(spark, rows, tmp_path):
         edges=(edges, "src string, dst string, edge_type string"),
     )
     assert rows(got, "src", "dst") == [("caller", "B.run"), ("caller", "C.run")]
+
+
+@pytest.mark.parametrize(
+    ("path", "code", "origin"),
+    [
+        ("a.py", "# licence\n" * 20_000 + "# Generated by protoc. DO NOT EDIT.\nx = 1\n", "generated"),
+        ("b.java", "/*\n   Licence\n   Generated by protoc. DO NOT EDIT.\n*/\nclass A { int x = 1; }\n", "generated"),
+        ("c.py", "# head\n'''Messages.\n\nGenerated by protoc. DO NOT EDIT.\n'''\nx = 1\n", "generated"),
+        ("d.py", "x = 1\n# Generated by protoc. DO NOT EDIT.\n", "hand-written"),
+        ("e.py", "x = '''\nGenerated by protoc. DO NOT EDIT.\n'''\n", "hand-written"),
+    ],
+)
+def test_notices_anywhere_in_the_head(spark, path, code, origin):
+    df = spark.createDataFrame([(1, path, "p", None, code)], "file_id long, file_path string, project_id string, language string, code string")
+    assert [r.origin for r in file_origin.classify(df).collect()] == [origin]
