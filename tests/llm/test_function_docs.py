@@ -68,3 +68,28 @@ def test_very_long_text(spark):
     code = "def f():\n    pass\n" + "x = 1\n" * 40_000
     df = spark.createDataFrame([("a", "f", PY, code, LONG, None, "1", 0)], SCHEMA)
     assert D.function_pairs(df, with_source=False).count() == 1
+
+
+LONG_TOKENS = [
+    "x = 'a" + "b\\\\c" * 1_000_000 + "'\n",
+    'y = "' + "é😀" * 1_000_000 + '"\n',
+    '"""' + "word and " * 500_000,
+    "# " + "-=" * 2_000_000 + "\n",
+    "# this " + "is " * 1_000_000 + "\n",
+    "z(" * 300_000 + ")" * 300_000 + ";\n",
+    "a b " * 500_000 + "(\n",
+    "# " + " " * 3_000_000 + "x\n",
+    "/* " * 500_000,
+    "# see " + "(.." * 500_000 + "\n",
+    "\n" * 2_000_000,
+]
+
+
+@pytest.mark.parametrize("kind", [PY, JS])
+def test_long_tokens(spark, kind):
+    head = f"# {LONG}\ndef f():\n    pass\n" if kind == PY else f"// {LONG}\nf(a) {{\n  return 1;\n}}\n"
+    rows = [(f"a{k}", "f", kind, head + text, None, None, "1", 0) for k, text in enumerate(LONG_TOKENS)]
+    rows += [(f"b{k}", "f", kind, text, text, None, "1", 0) for k, text in enumerate(LONG_TOKENS)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = {r.node_id for r in D.function_pairs(df, with_source=False).collect()}
+    assert {f"a{k}" for k in range(len(LONG_TOKENS))} <= got
