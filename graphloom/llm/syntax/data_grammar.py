@@ -32,46 +32,60 @@ def only_comments(text: str, pattern: re.Pattern) -> bool:
     return True
 
 
-def check_json(text: str) -> bool:
-    """Whether a text is one JSON value. What may follow is kept as a state with a stack of brackets."""
-    if not text.strip() or only_comments(text, _JSON_COMMENT):
-        return True
+def starts_with_comment(text: str) -> bool:
+    return text.lstrip()[:1] in ("/", "#")
+
+
+def json_skeleton(text: str) -> str:
+    """The marks of a run of whole lines, strings as S, numbers and words as 0, and ! for what no value holds."""
+    return "".join(
+        ["!" if bad else "S" if string else "0" if literal else mark for string, literal, mark, bad in _JSON_TOKEN.findall(text)]
+    )
+
+
+def json_value(shape: str) -> bool:
+    """Whether a skeleton is one value or nothing. What may follow is kept as a state with a stack of brackets."""
     stack: list[str] = []
-    want = "value"  # value, first (of an array), key, firstkey, colon, comma, end
-    for string, literal, mark, bad in _JSON_TOKEN.findall(text):
-        if bad:
-            return False
-        if string or literal:
-            if string and want in ("key", "firstkey"):
+    want = "value" if shape else "end"  # value, first (of an array), key, firstkey, colon, comma, end
+    for token in shape:
+        if token in "S0":
+            if token == "S" and want in ("key", "firstkey"):
                 want = "colon"
             elif want in ("value", "first"):
                 want = "comma" if stack else "end"
             else:
                 return False
-        elif mark in ("[", "{"):
-            if not mark or want not in ("value", "first"):
+        elif token in "[{":
+            if want not in ("value", "first"):
                 return False
-            stack.append(mark)
-            want = "first" if mark == "[" else "firstkey"
-        elif mark == "]":
+            stack.append(token)
+            want = "first" if token == "[" else "firstkey"
+        elif token == "]":
             if not stack or stack.pop() != "[" or want not in ("first", "comma"):
                 return False
             want = "comma" if stack else "end"
-        elif mark == "}":
+        elif token == "}":
             if not stack or stack.pop() != "{" or want not in ("firstkey", "comma"):
                 return False
             want = "comma" if stack else "end"
-        elif mark == ":":
+        elif token == ":":
             if want != "colon":
                 return False
             want = "value"
-        elif mark == ",":
+        elif token == ",":
             if want != "comma":
                 return False
             want = "value" if stack[-1] == "[" else "key"
+        else:
+            return False
     return want == "end"
 
 
+def check_json(text: str) -> bool:
+    """Whether a text is one JSON value, nothing, or comments only."""
+    return json_value(json_skeleton(text)) or only_comments(text, _JSON_COMMENT)
+
+
 def _exact_xml(text: str) -> bool:
     parser = xml.parsers.expat.ParserCreate()
     try:

@@ -1,8 +1,8 @@
 """Chunks of a source file as maps from lexer states, and their associative reduction.
 
 A chunk is a run of whole lines. For each state in which the lexer may enter it
-(in code, in a block comment, in a string over several lines), its map tells the
-state at its end and its summary of brackets: the closing ones that nothing in
+(in code, in a block comment, in a string over several lines, in a template and its
+nested expressions), its map tells the state at its end and its summary of brackets: the closing ones that nothing in
 the chunk opens, then the opening ones that nothing in it closes. Maps compose,
 and the composition is associative, so the chunks of one file can be reduced in
 any grouping. Once the state at the start of every chunk is known, a chunk is
@@ -88,47 +88,58 @@ JAVASCRIPT = Language(
         "for function if import in instanceof let new null of return static super switch this throw true try typeof var "
         "void while with yield get set".split()
     ),
-    {"/*": re.compile(r"[\s\S]*?\*/"), "`": re.compile(r"(?:[^`\\]|\\[\s\S])*`")},
+    # a template's state is the stack of what is open; deeper ones are found where they occur
+    {"/*": re.compile(r"[\s\S]*?\*/"), **dict.fromkeys(("`", "`{", "`{`", "`{`{", "`!"))},
     STRING,
 )
 LANGUAGES = {x.name: x for x in (PYTHON, JAVA, JAVASCRIPT)}
 
 
-def _template_end(text: str, at: int) -> int:
-    """The end of the template literal that begins at ``at``, with templates nested in its expressions, or -1."""
-    stack = ["`"]
-    k = at + 1
-    while k < len(text):
-        c = text[k]
+_REST = {c: re.compile(rf"[^{c}\\\n]*(?:\\[\s\S][^{c}\\\n]*)*{c}") for c in "\"'"}
+_IN_TEMPLATE = re.compile(r"[\\`$]")
+_IN_EXPRESSION = re.compile(r"[\\\"'`{}]")
+
+
+def _template(text: str, at: int, stack: str) -> tuple[int, str]:
+    """The end of the template literal that is open at ``at``, or -1 and what is still open at the end of the text."""
+    while True:
+        m = (_IN_TEMPLATE if stack[-1] == "`" else _IN_EXPRESSION).search(text, at)
+        if m is None:
+            return -1, stack
+        c, at = m.group(), m.end()
         if c == "\\":
-            k += 1
-        elif stack[-1] == "`":
-            if c == "`":
-                stack.pop()
-                if not stack:
-                    return k + 1
-            elif text.startswith("${", k):
-                stack.append("{")
-                k += 1
-        elif c in "\"'":
-            close = re.compile(rf"[^{c}\\\n]*(?:\\.[^{c}\\\n]*)*{c}").match(text, k + 1)
-            if close is None:
-                return -1
-            k = close.end() - 1
+            at += 1
+        elif c == "$":
+            if text.startswith("{", at):
+                stack += "{"
+                at += 1
+        elif c == "`" and stack[-1] == "`" or c == "}":
+            stack = stack[:-1]
+            if not stack:
+                return at, ""
         elif c in "`{":
-            stack.append(c)
-        elif c == "}":
-            stack.pop()
-        k += 1
-    return -1
+            stack += c
+        else:
+            close = _REST[c].match(text, at)
+            if close is None:
+                return -1, "`!"
+            at = close.end()
 
 
 def strip_text(text: str, lang: Language, state: str = CODE) -> tuple[str, str]:
     """(text without comments and with marks for strings, state at the end)."""
     out: list[str] = []
-    at = 0
-    if state != CODE:
-        end = lang.ends[state].match(text)
+    # a chunk follows a line end; what may begin a regular expression looks back at it
+    text = "\n" + text
+    at = 1
+    if state == "`!":
+        return "", state
+    if state[0] == "`":
+        at, state = _template(text, 1, state)
+        if at < 0:
+            return "", state
+    elif state != CODE:
+        end = lang.ends[state].match(text, 1)
         if end is None:
             return "", state
         at = end.end()
@@ -151,11 +162,10 @@ def strip_text(text: str, lang: Language, state: str = CODE) -> tuple[str, str]:
                 continue
             out.append(STRING)  # a regular expression
         elif token == "`" and lang is JAVASCRIPT:
-            end = _template_end(text, m.start())
-            if end < 0:
-                out.append(TEMPLATE)
-                return "".join(out), "`"
             out.append(TEMPLATE)
+            end, left = _template(text, m.end(), "`")
+            if end < 0:
+                return "".join(out), left
             at = end
         elif first == "`" and len(token) > 1:
             out.append(TEMPLATE)
@@ -224,8 +234,12 @@ def chunk_map(text: str, lang: Language) -> dict[str, tuple[str, str | None]]:
     return out
 
 
+UNKNOWN = "?"  # the state behind a template that is nested deeper than the maps go
+
+
 def compose_maps(left: dict, right: dict) -> dict:
-    return {s: (right[e][0], compose(b, right[e][1])) for s, (e, b) in left.items()}
+    after = {s: right.get(e, (UNKNOWN, None)) for s, (e, _) in left.items()}
+    return {s: (after[s][0], compose(b, after[s][1])) for s, (_, b) in left.items()}
 
 
 def chunks(text: str, size: int) -> list[str]:

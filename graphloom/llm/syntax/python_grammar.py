@@ -70,7 +70,8 @@ def check(skeleton: str) -> bool:
         return False
     if "\\\n" in skeleton:
         skeleton = skeleton.replace("\\\n", " ")
-    levels: list[int] = [0]
+    # widths with tabs of eight and of one column: an indentation must compare alike by both
+    levels: list[tuple[int, int]] = [(0, 0)]
     last: list[str] = [""]  # the statement before, at each level
     expect = False
     decorated = False
@@ -105,17 +106,18 @@ def check(skeleton: str) -> bool:
                 held, held_indent, open_brackets = body, indent, summary
                 continue
             line = body
-        width = len(indent.expandtabs(8))
+        indent = indent.rpartition("\f")[2]
+        width = (len(indent.expandtabs(8)), len(indent))
         if expect:
-            if width <= levels[-1]:
+            if width[0] <= levels[-1][0] or width[1] <= levels[-1][1]:
                 return False
             levels.append(width)
             last.append("")
             expect = False
-        elif width > levels[-1]:
+        elif width[0] > levels[-1][0]:
             return False
         else:
-            while width < levels[-1]:
+            while width[0] < levels[-1][0]:
                 levels.pop()
                 if last.pop() == "try" or decorated:
                     return False

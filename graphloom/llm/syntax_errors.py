@@ -3,12 +3,17 @@
 Lexing is a reduction of chunk maps (``syntax.lexing``): each chunk of a file
 becomes a map from the lexer states it may be entered in to the state at its end
 and a summary of its brackets; maps compose associatively. With the entry states
-known, chunks become skeletons, whose statements are parsed by local grammars,
-each different statement once. A file of up to ``chunk_chars`` characters is one
-chunk with a known entry state, so it is finished where it is read, without a
-shuffle. Longer files are cut, their maps are made in parallel, reduced per file,
-and the skeletons joined. In files of any length, what the local grammar of Python
-rejects is confirmed by the exact parser on the whole text.
+known, chunks become skeletons; if the brackets of the file match, its statements
+are parsed by local grammars, each different statement once.
+
+A file of up to ``chunk_chars`` characters is folded where it is read, chunk by
+chunk, without a shuffle. The maps of longer files are made in parallel and reduced
+per file, and their skeletons are joined: tiny rows, as names, literals and comments
+are gone. Both ways make the same skeleton, so a file's verdict doesn't depend on
+its length. What the local grammar of Python rejects is confirmed by the exact
+parser on the whole text, as is (with its own grammar) a file with templates nested
+deeper over a cut than the maps tell apart. XML has no chunks: its tags are matched
+in one pass, and what that rejects is confirmed by the exact parser.
 
 Defined results for odd input
 -----------------------------
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.syntax import files as checks
-from graphloom.llm.syntax.lexing import CODE, LANGUAGES, chunk_map, chunks, compose_maps, skeleton
+from graphloom.llm.syntax.lexing import CODE, LANGUAGES, UNKNOWN, brackets, chunk_map, chunks, compose_maps
 from graphloom.session import cut_lineage
 
 #: File extensions and what they are written in.
@@ -83,11 +88,17 @@ def _cut(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _map(part: str, lang: str) -> dict[str, tuple[str, str | None]]:
+    if lang == "json":
+        return {CODE: (CODE, brackets(checks.shape_of(part, lang, CODE)[0]))}
+    return chunk_map(part, LANGUAGES[lang])
+
+
 def _maps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         rows: list[tuple] = []
         for file_id, lang, seq, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for state, (end, left) in chunk_map(part, LANGUAGES[lang]).items():
+            for state, (end, left) in _map(part, lang).items():
                 rows.append((file_id, seq, state, end, left))
         cols = list(zip(*rows)) if rows else [[]] * 5
         types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -96,7 +107,7 @@ def _maps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state at the start of each chunk of one file, and whether the brackets of the file match."""
+    """The state at the start of each chunk of one file, and whether its lexer ends in code and its brackets match."""
     maps = [
         {s: (e, None if pd.isna(b) else b) for s, e, b in zip(g["state"], g["exit"], g["brackets"])}
         for _, g in sorted(pdf.groupby("seq"), key=lambda x: x[0])
@@ -104,64 +115,58 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     entries, state = [], CODE
     for m in maps:
         entries.append(state)
-        state = m[state][0]
+        state = m[state][0] if state in m else UNKNOWN
     while len(maps) > 1:  # associative: neighbours are composed pairwise
         maps = [compose_maps(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
     balanced = maps[0][CODE] == (CODE, "")
     return pd.DataFrame(
-        {"file_id": pdf["file_id"].iloc[0], "seq": range(len(entries)), "entry": entries, "balanced": balanced}
+        {
+            "file_id": pdf["file_id"].iloc[0],
+            "seq": range(len(entries)),
+            "entry": entries,
+            "balanced": balanced,
+            "known": state != UNKNOWN,
+        }
     ).astype({"seq": "int32"})
 
 
 def _skeletons(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         lang, part, entry = (batch.column(i).to_pylist() for i in (1, 3, 4))
-        made = [skeleton(p, LANGUAGES[x], e)[0] for x, p, e in zip(lang, part, entry)]
+        made = [checks.shape_of(p, x, e)[0] for x, p, e in zip(lang, part, entry)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.string()), batch.column(5)],
-            names=["file_id", "lang", "seq", "shape", "balanced"],
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.string())],
+            names=["file_id", "lang", "seq", "shape"],
         )
 
 
 def _join_skeletons(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seq")
-    shape, lang = "".join(pdf["shape"]), pdf["lang"].iloc[0]
-    ok = bool(pdf["balanced"].all()) and checks.skeleton_valid(shape, CODE, lang)
+    ok = checks.statements_valid("".join(pdf["shape"]), pdf["lang"].iloc[0])
     return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "valid": [ok]})
 
 
-def _confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        verdicts = [checks.python_exact(checks.normal(code)) for code in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.bool_())], names=["file_id", "valid"])
-
-
 def _large(rows: DataFrame, size: int) -> DataFrame:
     # rows of one id that differ are different texts; equal ones are cut once
     texts = rows.distinct().withColumn("text_id", F.xxhash64("file_id", "lang", F.md5("code")))
-    ids = texts.select("text_id", "file_id", "lang")
-    judged = cut_lineage(_large_texts(texts.select(F.col("text_id").alias("file_id"), "lang", "code"), size))
-    judged = judged.withColumnRenamed("file_id", "text_id").join(ids, "text_id")
-    # as in small files, the exact parser confirms on the whole text what the local grammar of Python rejects
-    rejected = ~F.col("valid") & (F.col("lang") == "python")
-    doubted = judged.where(rejected).select("text_id")
-    again = texts.where("lang = 'python'").join(doubted, "text_id", "left_semi").select("file_id", "code")
-    exact = again.mapInArrow(_confirm, "file_id long, valid boolean")
-    return judged.where(~rejected).select("file_id", "valid").unionByName(exact)
-
-
-def _large_texts(rows: DataFrame, size: int) -> DataFrame:
-    parts = rows.mapInArrow(lambda it: _cut(it, size), "file_id long, lang string, seq int, part string")
-    maps = parts.select("file_id", "lang", "seq", "part").mapInArrow(
-        _maps, "file_id long, seq int, state string, exit string, brackets string"
+    cut = texts.select(F.col("text_id").alias("file_id"), "lang", "code")
+    parts = cut.mapInArrow(lambda it: _cut(it, size), "file_id long, lang string, seq int, part string")
+    maps = parts.mapInArrow(_maps, "file_id long, seq int, state string, exit string, brackets string")
+    entries = cut_lineage(
+        maps.groupBy("file_id").applyInPandas(_reduce, "file_id long, seq int, entry string, balanced boolean, known boolean")
     )
-    entries = maps.groupBy("file_id").applyInPandas(_reduce, "file_id long, seq int, entry string, balanced boolean")
-    shapes = (
-        parts.join(entries, ["file_id", "seq"])
-        .select("file_id", "lang", "seq", "part", "entry", "balanced")
-        .mapInArrow(_skeletons, "file_id long, lang string, seq int, shape string, balanced boolean")
+    fit = entries.where("balanced and known").select("file_id", "seq", "entry")
+    shapes = parts.join(fit, ["file_id", "seq"]).select("file_id", "lang", "seq", "part", "entry").mapInArrow(
+        _skeletons, "file_id long, lang string, seq int, shape string"
     )
-    return shapes.groupBy("file_id").applyInPandas(_join_skeletons, "file_id long, valid boolean")
+    parsed = shapes.groupBy("file_id").applyInPandas(_join_skeletons, "file_id long, valid boolean")
+    unfit = entries.where("seq = 0 and not (balanced and known)").select("file_id", F.lit(False).alias("valid"), "known")
+    judged = cut_lineage(parsed.withColumn("known", F.lit(True)).unionByName(unfit)).withColumnRenamed("file_id", "text_id")
+    # what isn't accepted goes back to its whole text: Python's exact parser, or the fold that knows every state
+    again = ~F.col("valid") & ((F.col("lang") == "python") | ~F.col("known"))
+    ids = judged.join(texts.select("text_id", "file_id", "lang"), "text_id")
+    doubted = texts.join(judged.where("not valid").select("text_id", "known"), "text_id").where("lang = 'python' or not known")
+    return ids.where(~again).select("file_id", "valid").unionByName(_small(doubted.select("file_id", "lang", "code")))
 
 
 def verdicts(
@@ -179,7 +184,8 @@ def verdicts(
         language_of(F.col(language_col), F.col(path_col)).alias("lang"),
         F.col(code_col).alias("code"),
     ).where(F.col("file_id").isNotNull() & F.col("lang").isin(*checks.CHECKED) & F.col("code").isNotNull())
-    long = (F.char_length("code") > chunk_chars) & F.col("lang").isin(*LANGUAGES)
+    remark = (F.col("lang") == "json") & F.ltrim("code").rlike(r"^[\s\x{FEFF}]*+[/#]")  # only a remark or invalid
+    long = (F.char_length("code") > chunk_chars) & F.col("lang").isin(*checks.CUT) & ~remark
     return _small(rows.where(~long)).unionByName(_large(rows.where(long), chunk_chars))
 
 

@@ -64,12 +64,43 @@ def test_maps_compose_associatively():
 
 def test_chunked_and_whole_files_agree(spark, rows):
     data = [(k, f"f.{e}", "p", None if k % 2 else x.upper(), c) for k, (x, e, c) in enumerate(
-        [(lang, ext, c) for lang, ext in (("python", "py"), ("java", "java"), ("javascript", "js")) for c in GOOD[lang] + BAD[lang]]
+        [(lang, ext, c) for lang, ext in (("python", "py"), ("java", "java"), ("javascript", "js"), ("json", "json")) for c in GOOD[lang] + BAD[lang]]
     )]
     df = spark.createDataFrame(data, "file_id long, file_path string, project_id string, language string, code string")
     assert rows(S.invalid_files(df)) == rows(S.invalid_files(df.unionByName(df.limit(9)), chunk_chars=6))
 
 
+TEMPLATES = ["x = `a\n${ b(`c\n${ `d\n${ e(`f\n${ g }\nh`) }\ni` }\nj`) }\nk`;\n", "x = `a\n${ b(`c\n${ `d }\n`;\n", "y = [\n/a`b/,\n/[/]/g\n];\n"]
+
+
+def test_deep_templates_over_cuts(spark, rows):
+    data = [(k, "a.js", "p", None, c) for k, c in enumerate(TEMPLATES)]
+    df = spark.createDataFrame(data, "file_id long, file_path string, project_id string, language string, code string")
+    assert [valid(c, "javascript") for c in TEMPLATES] == [True, False, True]
+    assert [valid(c, "javascript", 2) for c in TEMPLATES] == [True, False, True]
+    assert rows(S.invalid_files(df, chunk_chars=2)) == [(1,)]
+
+
+@pytest.mark.parametrize("code", ["if x:\n\ty\n        z\n", "if x:\n        y\n\tz\n", "if x:\n  if y:\n\tz\n", "if x:\n\f  y\n  z\n", 'x = f"{d["k"]}"\n', "x = 1or 2\n"])
+@pytest.mark.parametrize("size", [3, 1000])
+def test_python_as_its_own_parser(spark, rows, code, size):
+    from graphloom.llm.syntax.files import python_exact
+
+    df = spark.createDataFrame([(1, "a.py", "p", None, code)], "file_id long, file_path string, project_id string, language string, code string")
+    assert rows(S.invalid_files(df, chunk_chars=size)) == ([] if python_exact(code) else [(1,)])
+
+
+def test_length_makes_no_difference(spark, rows):
+    """Every file of a test table judged whole, and by chunks that pass through the shuffled reduction."""
+    import os
+
+    path = "/root/testdata/sf0.01/source_files.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are missing")
+    files = spark.read.parquet(path)
+    assert rows(S.invalid_files(files)) == rows(S.invalid_files(files, chunk_chars=300))
+
+
 def test_odd_rows(spark, rows):
     data = [(1, "a.py", None, "Python ", "x ="), (1, "a.py", None, "Python ", "x ="), (2, "b.yml", "p", None, ": :"), (3, None, "p", None, "x ="), (4, "c.json", "p", "", "{"), (None, "d.py", "p", None, "x ="), (5, "e.py", "p", None, None)]
     df = spark.createDataFrame(data, "file_id long, file_path string, project_id string, language string, code string")
