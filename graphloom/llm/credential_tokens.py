@@ -16,11 +16,12 @@ Span = tuple[int, int]
 
 PEM = re.compile(r"-----BEGIN (?P<type>[A-Z0-9 ]*?)-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+_PEM_LINES = re.compile(r"(?:[\s\"'+,()]|\\n)*+(?:[A-Za-z0-9+/]{16,}+=*+(?:[\s\"'+,()]|\\n)*+)*+")
 _PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
-_JOINED = re.compile(
-    r"""(?:"(?:\\.|[^"\\\n])*"(?:\s*\+\s*|\s*\n\s*)(?=")){1,200}"(?:\\.|[^"\\\n])*"|"""
-    r"""(?:'(?:\\.|[^'\\\n])*'(?:\s*\+\s*|\s*\n\s*)(?=')){1,200}'(?:\\.|[^'\\\n])*'"""
-)
+# what may lie between literals that are one string: a sign, or a line end
+_BETWEEN = r"[^\S\n]*+(?:\n\s*+(?:\+\s*+)?+|\+\s*+)"
+_DOUBLE, _SINGLE = r'"(?:[^"\\\n]|\\.)*+"', r"'(?:[^'\\\n]|\\.)*+'"
+_JOINED = re.compile(rf"{_DOUBLE}(?:{_BETWEEN}{_DOUBLE})++|{_SINGLE}(?:{_BETWEEN}{_SINGLE})++")
 _LITERAL = re.compile(r""""((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'""")
 _SCAN = re.compile(
     r"""(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)"""
@@ -50,9 +51,11 @@ class Token:
 # -- names ---------------------------------------------------------------------
 _SECRET = frozenset(
     "password passwd passphrase pass pwd pw secret secrets token credential credentials kennwort passwort clave "
-    "contrasena contraseña passcode apikey authtoken motdepasse senha".split()
+    "contrasena contraseña passcode pin apikey authtoken motdepasse senha".split()
 )
 _SECRET_KEY = frozenset("api access private signing secret encryption auth master client service account license hmac".split())
+#: Spanish "clave" is any key; with these words, or alone, it is a secret one.
+_OF_CLAVE = frozenset("api acceso secreta privada maestra admin db smtp ldap".split())
 _ABOUT = frozenset(
     "length limit type field file path hint count size ttl expiry expires rotation policy budget min max name id env days "
     "letters label url format mode class retries timeout".split()
@@ -68,6 +71,8 @@ def key_class(name: str) -> str:
     if not words:
         return "none"
     marks = set(words)
+    if "clave" in marks and len(words) > 1 and not marks & _OF_CLAVE:
+        marks.discard("clave")
     secret = bool(marks & _SECRET) or (
         any(w in ("key", "keys") and k and words[k - 1] in _SECRET_KEY for k, w in enumerate(words))
     )
@@ -364,6 +369,7 @@ def features(tokens: list[Token], ext: str) -> list[list[str]]:
         cue = prev if prev in _CUES else ("secretname" if key_class(prev) == "secret" else "none")
         size = "short" if len(t.text) < 8 else "long" if len(t.text) >= 16 else "mid"
         comment = "comment" in t.marks
+        opened = tokens[k - 1].text.strip()[-1:] if k and tokens[k - 1].kind == "op" else tokens[k - 1].kind if k else ""
         bits = "high" if entropy(t.text) > 3.6 else "low"
         out.append(
             [
@@ -379,6 +385,7 @@ def features(tokens: list[Token], ext: str) -> list[list[str]]:
                 f"comment+shape={comment},{form}",
                 f"comment+kind+cue={comment},{t.kind},{cue}",
                 f"config={config}",
+                f"name+open+shape={name},{opened},{form}",
                 f"name+kind+size={name},{t.kind},{size}" if t.kind in ("param", "pass") else f"kind+size={t.kind},{size}",
             ]
         )
@@ -387,13 +394,13 @@ def features(tokens: list[Token], ext: str) -> list[list[str]]:
 
 # -- lines that need tokens ----------------------------------------------------
 _HINTS = (
-    "pass", "pwd", "secret", "token", "credential", "auth", "kennwort", "clave", "_pw", "-pw", ".pw", "pw\"", "://", "akia",
-    "asia", "eyj", "bearer", "basic ", "curl", "key", "contrase", "senha", "xox",
+    "pass", "pwd", "secret", "token", "credential", "auth", "kennwort", "clave", "pw", "://", "akia",
+    "asia", "eyj", "bearer", "basic ", "curl", "key", "contrase", "senha", "xox", "pin", "motdep",
 )
 _LINE_HINT = re.compile(
     r"[Pp]assw|[Pp]assphr|[Pp]asscode|(?<![a-z])pass(?![a-z])|Pass(?![a-z])|pwd|[Pp]w(?![a-z])|(?<![A-Za-z])PW|PASS|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN"
     r"|[Cc]redential|CREDENTIAL|[Aa]uth|AUTH|[Kk]ennwort|KENNWORT|(?<![a-z])[Cc]lave(?![a-z])|CLAVE|[Kk]ey(?![a-z])|KEY"
-    r"|://[^/\s\"']*@|[?&][\w.-]+=[\w%+/.~-]{12,}|-u\s+\S+:|[Bb]earer\s|[Bb]asic\s|[Cc]ontrase|[Ss]enha"
+    r"|://[^/\s\"']*@|[?&][\w.-]+=[\w%+/.~-]{12,}|-u\s+\S+:|[Bb]earer\s|[Bb]asic\s|[Cc]ontrase|[Ss]enha|(?<![A-Za-z])[Pp]in(?![a-z])|Pin(?![a-z])|PIN|[Mm]ot_?[Dd]e_?[Pp]asse"
 )
 _LONG = re.compile(r"(?<![\w+/=-])(?=[\w+/=-]*\d)[A-Za-z][\w+/=-]{19,}")
 
@@ -434,7 +441,10 @@ def pem_tokens(text: str) -> list[Token]:
     for m in PEM.finditer(text):
         end = _PEM_END.search(text, m.end())
         nxt = PEM.search(text, m.end())
-        close = end.start() if end and not (nxt and nxt.start() < end.start()) else min(len(text), m.end() + 8000)
+        if end and not (nxt and nxt.start() < end.start()):
+            close = end.start()
+        else:  # an open mark claims the lines of the body that follow directly
+            close = _PEM_LINES.match(text, m.end()).end()
         spans = [x.span() for x in _PEM_BODY.finditer(text, m.end(), close)]
         if sum(b - a for a, b in spans) < 60:
             continue

@@ -18,6 +18,7 @@ _SECRET_NAMES = (
     "apikey access_key private_key signing_key secret_key master_pw smtp_pass db_password credential hmac_secret kennwort "
     "clave_api ldap_bind_pw encryption_key passwort"
 ).split()
+_SPOKEN_NAMES = "password passwd pwd db_password passphrase kennwort smtp_pass master_pw passcode login_pin secret passwort".split()
 _ABOUT_NAMES = (
     "password_min_length token_limit token_type password_field secret_rotation_days password_hint api_key_file "
     "token_count password_policy secret_file token_budget refresh_token_file auth_token_ttl credential_type"
@@ -52,6 +53,10 @@ class Writer:
     def run(self, n: int, alphabet: str = _ALNUM) -> str:
         return "".join(self.r.choice(alphabet) for _ in range(n))
 
+    def letters(self) -> str:
+        """Mostly letters and digits, now and then letters only."""
+        return string.ascii_letters if self.r.random() < 0.25 else _ALNUM
+
     def typed(self) -> str:
         kind = self.r.randrange(4)
         if kind == 0:
@@ -79,6 +84,15 @@ class Writer:
             return self.run(self.r.randint(10, 18), _ALNUM) + str(self.r.randrange(10)) + self.run(2, string.ascii_letters)
         return self.run(36, _ALNUM + ".-_")
 
+    def spoken(self) -> str:
+        """A credential of plain words or digits, which only its name gives away."""
+        kind = self.r.randrange(5)
+        if kind == 0:
+            return str(self.r.randrange(1000, 99_999_999))
+        if kind == 1:
+            return self.r.choice("-_.").join(self.word() for _ in range(self.r.randint(2, 4)))
+        return self.word(3, 5).title() if kind == 2 else self.word(3, 5)
+
     def any(self) -> str:
         return self.typed() if self.r.random() < 0.5 else self.loose()
 
@@ -124,7 +138,7 @@ class Writer:
 
     def line(self) -> tuple[str, str]:
         r = self.r
-        kind = r.randrange(23)
+        kind = r.randrange(24)
         code = r.choice(["py", "java", "js"])
         mark = "#" if code == "py" else "//"
         if kind <= 2:
@@ -143,7 +157,7 @@ class Writer:
         if kind == 8:
             return self.pair(self.name().replace("-", "_").replace(".", "_"), self.plain())
         if kind in (9, 10):
-            secret = r.choice([self.run(r.randint(8, 18)) + str(r.randrange(10)), self.loose().replace("/", "").replace("@", "").replace("#", "")])
+            secret = r.choice([self.run(r.randint(8, 18), self.letters()) + r.choice(["", str(r.randrange(10))]), self.loose().replace("/", "").replace("@", "").replace("#", "")])
             scheme = r.choice(["https", "postgres", "mysql", "amqp", "mongodb", "redis"])
             url = f"{scheme}://{self.word()}:«{secret}»@{self.host()}:{r.randrange(1000, 9999)}/{self.word()}"
             return self.pair(r.choice(["dsn", "jdbc", "uri", "upstream", "remote", self.word() + "_dsn"]), url)
@@ -152,7 +166,7 @@ class Writer:
             return self.pair(r.choice(["dsn", "uri", "upstream"]), url)
         if kind == 12:
             name = r.choice(["sig", "access", "token", "key", "secret", "auth", "signature", "api_key"])
-            url = f"https://{self.host()}/{self.word()}?{name}=«{self.run(r.choice([24, 32, 40]))}»{r.choice(['', '&v=3', '&page=2'])}"
+            url = f"https://{self.host()}/{self.word()}?{name}=«{self.run(r.choice([24, 32, 40]), self.letters())}»{r.choice(['', '&v=3', '&page=2'])}"
             return self.pair(r.choice(["callback", "hook", self.word() + "_url"]), url)
         if kind == 13:
             url = f"https://{self.host()}/{self.word()}?{r.choice(['page', 'v', 'id', 'lang', 'q'])}={r.choice([str(r.randrange(99)), self.word()])}"
@@ -164,7 +178,7 @@ class Writer:
                 if "connect(" not in line:
                     return ext, line
         if kind == 15:
-            return code, f"{mark} curl -u {self.word()}:«{self.run(r.randint(9, 18)) + str(r.randrange(10))}» https://{self.host()}/{self.word()}"
+            return code, f"{mark} curl -u {self.word()}:«{self.run(r.randint(9, 18), self.letters()) + r.choice(['', str(r.randrange(10))])}» https://{self.host()}/{self.word()}"
         if kind == 16:
             name = self.styled(r.choice(_SECRET_NAMES) if r.random() < 0.7 else self.word() + "_" + self.word())
             value = self.any() if key_is_secret(name) else self.typed()
@@ -185,16 +199,24 @@ class Writer:
                  ("js", f'var {neutral} = process.env.{env} || "{value}";'), ("py", f'{neutral} = os.getenv("{env}", "{value}")')]
             )
         if kind == 19:
+            if r.random() < 0.3:
+                name = r.choice(_SPOKEN_NAMES)
             return r.choice(
                 [("py", f'{name} = os.environ["{name.upper()}"]'), ("js", f'var {name} = process.env["{name.upper()}"];'), ("py", f'{name} = config.get("{name}")'),
                  ("java", f'String {name} = System.getenv("{name.upper()}");'), ("py", f'{name} = os.environ.get("{name.upper()}", "{self.placeholder()}")')]
             )
         if kind == 20:
             f = self.word()
+            names = ", ".join(f"'{self.word()}_{self.word()}_{r.randrange(99)}'" for _ in range(r.randint(2, 6)))
             return r.choice(
+                [("py", f"    __slots__ = ({names})"), ("js", f"var {f} = [{names}];"), ("java", f"    /** {{@{f}Doc}} {self.word()} */"),
+                 ("json", f'    "{self.name()}_{r.randrange(99)}": "{self.word()}_{r.randrange(99)}",')]
+            ) if r.random() < 0.3 else r.choice(
                 [("py", f'{f}.{self.word()}({self.word()}, "{self.word()} {self.word()}", {r.randrange(9999)})'), ("js", f'this.{f}.{self.word()}("{self.word()}.{self.word()}");'),
                  ("java", f'var {f} = this.{self.word()}.copyTokenKey({self.word()}, "{self.word()}");'), ("py", f"def get_token_{f}(self, {self.word()}: int) -> str:")]
             )
+        if kind == 22:
+            return self.pair(r.choice(_SPOKEN_NAMES), f"«{self.spoken()}»")
         if kind == 21:
             blob = self.run(76, _ALNUM + "+/")
             return code, f'    "{blob}",'

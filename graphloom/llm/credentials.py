@@ -32,8 +32,9 @@ from graphloom.llm import credential_tokens as lex
 from graphloom.llm.credential_training import labelled
 from graphloom.llm.crf import LinearChainCRF
 
-TRAINING_LINES = 4000
+TRAINING_LINES = 12_000
 _OPEN_SHAPES = frozenset("typed jwt hex base64 wordnum mixed plain uuid tagged".split())
+_CLOSED_SHAPES = frozenset("empty reference placeholder".split())
 
 
 def tagged_line(ext: str, line: str) -> tuple[list[lex.Token], list[list[str]]]:
@@ -53,8 +54,19 @@ def model() -> LinearChainCRF:
     return LinearChainCRF().fit(data)
 
 
-def find(text: str, ext: str, crf: LinearChainCRF) -> list[list[lex.Span]]:
-    """The spans of each credential, in order; the first span of each is where its value begins."""
+def _open(t: lex.Token) -> bool:
+    """Whether a token can be a credential: by its shape, or by a name that says so."""
+    if t.kind in ("op", "key"):
+        return False
+    form = lex.shape(t.text)
+    return form in _OPEN_SHAPES or form not in _CLOSED_SHAPES and (t.kind == "pass" or lex.key_class(t.key) == "secret")
+
+
+def find(text: str, ext: str, crf: LinearChainCRF, every_line: bool = False) -> list[list[lex.Span]]:
+    """The spans of each credential, in order; the first span of each is where its value begins.
+
+    ``every_line`` tags lines without a hint, too: slower, to measure what the hints lose.
+    """
     starts = [0]
     at = text.find("\n")
     while at >= 0:
@@ -69,13 +81,13 @@ def find(text: str, ext: str, crf: LinearChainCRF) -> list[list[lex.Span]]:
                 out.append(t.spans)
     done = -1
     joined = lex.joined_literals(text, ext)
-    for k in lex.candidate_lines(text, starts, joined):
+    for k in range(len(starts)) if every_line else lex.candidate_lines(text, starts, joined):
         start = starts[k]
         end = starts[k + 1] - 1 if k + 1 < len(starts) else len(text)
         if start < done or any(a < end and start < b for a, b in closed):
             continue
         tokens = lex.line_tokens(text, start, end, ext, joined)
-        if not any(t.kind not in ("op", "key") and lex.shape(t.text) in _OPEN_SHAPES for t in tokens):
+        if not any(map(_open, tokens)):
             continue
         labels = crf.viterbi(lex.features(tokens, ext))
         before = 0
