@@ -395,14 +395,15 @@ def features(tokens: list[Token], ext: str) -> list[list[str]]:
 # -- lines that need tokens ----------------------------------------------------
 _HINTS = (
     "pass", "pwd", "secret", "token", "credential", "auth", "kennwort", "clave", "pw", "://", "akia",
-    "asia", "eyj", "bearer", "basic ", "curl", "key", "contrase", "senha", "xox", "pin", "motdep",
+    "asia", "eyj", "bearer", "basic ", "curl", "key", "contrase", "senha", "xox", "pin", "motdep", "environ", "getenv", "getprop", "process.env",
 )
 _LINE_HINT = re.compile(
     r"[Pp]assw|[Pp]assphr|[Pp]asscode|(?<![a-z])pass(?![a-z])|Pass(?![a-z])|pwd|[Pp]w(?![a-z])|(?<![A-Za-z])PW|PASS|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN"
     r"|[Cc]redential|CREDENTIAL|[Aa]uth|AUTH|[Kk]ennwort|KENNWORT|(?<![a-z])[Cc]lave(?![a-z])|CLAVE|[Kk]ey(?![a-z])|KEY"
     r"|://[^/\s\"']*@|[?&][\w.-]+=[\w%+/.~-]{12,}|-u\s+\S+:|[Bb]earer\s|[Bb]asic\s|[Cc]ontrase|[Ss]enha|(?<![A-Za-z])[Pp]in(?![a-z])|Pin(?![a-z])|PIN|[Mm]ot_?[Dd]e_?[Pp]asse"
+    r"|(?:environ\.get|getenv|getProperty)\([^,()]*,|process\.env[\w.\[\]\"']*\s*(?:\|\||\?\?)"
 )
-_LONG = re.compile(r"(?<![\w+/=-])(?=[\w+/=-]*\d)[A-Za-z][\w+/=-]{19,}")
+_LONG = re.compile(r"(?<![\w+/-])(?=[\w+/-]*\d)[A-Za-z][\w+/-]{19,}")
 
 
 def joined_literals(text: str, ext: str) -> dict[int, re.Match]:
