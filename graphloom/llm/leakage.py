@@ -1,22 +1,32 @@
 """Test items that lie in corpus texts, wholly or for the most part.
 
 Texts and items are reduced to words: case, punctuation, markup, entities,
-invisible characters, accents and hyphens at line ends don't count. A Wu-Manber
-search over words finds where runs of ``run`` words of an item occur: the shift
-table, keyed by pairs of words, skips places that no run can end at; where it
-gives no shift, the bucket of the pair holds the runs to compare. Around the
-places found the item is then compared directly: the longest common subsequence
-of its words with the words of the neighbourhood must reach ``share`` of them.
-A closing instruction that several items carry belongs to none of them.
-
-Items are collected and searched for in blocks of ``block`` items, so the tables
-sent to the workers are bounded however many items there are; each block is one
-pass over the texts, and no text is shuffled.
+invisible characters, accents and hyphens at line ends don't count; scripts that
+are written without spaces give a word for each character. A Wu-Manber search
+over words finds where pairs of neighbouring words of an item occur: the shift
+table, keyed by words, skips places that no pair can end at; where it gives no
+shift, the bucket of the word holds the pairs to compare. Around the places found
+the item is then compared directly: the longest common subsequence of its words
+with the words of the neighbourhood must reach ``share`` of them. A closing
+instruction that several items carry belongs to none of them.
+
+Which pairs are searched for: if ``share`` of an item's n words are kept, at least
+(2 share - 1) n - 1 of its pairs are whole, less one for each inserted word; with
+room for 1 + n / 8 inserted words, so many of its most frequent pairs (by items that
+hold them) need no place in the tables, and every occurrence still meets one of
+the rest. Items too short for that are found by their rarest single words, of
+which an occurrence must hold one.
+
+Items are cleaned where they lie and different ones are sent to the workers in
+blocks of ``block_words`` words in all (a longer item is a block of its own), so the
+broadcast tables are bounded however many items there are. Each block is one pass
+over the texts; its machine is built once per worker; no text is shuffled. The
+driver holds one block at a time.
 
 Defined results for odd input
 -----------------------------
-* Null, empty and blank texts and items match nothing; so do items of fewer than
-  ``run`` words. Null ids are dropped.
+* Null, empty and blank texts and items match nothing; nor do items without a
+  letter or digit. Null ids are dropped; of several texts of an item the greatest counts.
 * An item that occurs several times in a text gives one row, as do repeated rows.
 * Equal items under several ids give a row for each id.
 * Texts of any length are searched whole. Other columns are dropped.
@@ -24,22 +34,29 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
+# Han, kana, Thai, Lao, Burmese and Khmer letters are words by themselves
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
+_ANY_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+(?:_+[^\W_{_UNSPACED}]+)*")
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|code|mark|sup|sub|font|small|tt|wbr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*\r?\n[ \t]*(?:[*#>|/]+[ \t]+)?(?=[^\W\d_])")
 _UNSEEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿̀-ͯ]")
-_SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 
 
 def words(text: str | None) -> list[str]:
@@ -54,68 +71,68 @@ def words(text: str | None) -> list[str]:
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     if "-" in text or "‐" in text:
         text = _HYPHEN.sub("", text)
-    return _WORD.findall(text.lower())
-
-
-def closing(text: str) -> tuple[str, ...]:
-    """The words of a text's last sentence, if it has several."""
-    parts = [p for p in _SENTENCE_END.split(text.strip()) if p]
-    return tuple(words(parts[-1])) if len(parts) > 1 else ()
-
+    return (_WORD if text.isascii() else _ANY_WORD).findall(text.lower())
 
-def stock_closings(texts: Iterable[str], shared: int = 3) -> set[tuple[str, ...]]:
-    """Closing sentences that at least ``shared`` different items have."""
-    counts = Counter(c for t in set(texts) if (c := closing(t)))
-    return {c for c, n in counts.items() if n >= shared}
 
-
-def item_words(items: list[tuple[int, str]], stock: set[tuple[str, ...]]) -> dict[int, list[str]]:
-    """The words of each item, without closing sentences of the stock."""
-    out = {}
-    for i, text in items:
-        parts = [p for p in _SENTENCE_END.split(text.strip()) if p]
-        while len(parts) > 1 and tuple(words(parts[-1])) in stock:
-            parts.pop()
-        out[i] = words(" ".join(parts))
-    return out
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence."""
+    return [words(p) for p in _SENTENCE_END.split(text.strip()) if p]
 
 
 class WuManber:
-    """Runs of words of many items, searched at once."""
-
-    def __init__(self, items: dict[int, list[str]], run: int = 3) -> None:
-        self.run = run
-        self.items = items
-        #: by the last two words of a run: the words before them, then where it lies in which item
-        self.buckets: dict[tuple[str, str], dict[tuple[str, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.shift: dict[tuple[str, str], int] = {}
-        most = run - 1
-        for item, ws in items.items():
-            for k in range(len(ws) - run + 1):
-                for j in range(1, run):
-                    pair = (ws[k + j - 1], ws[k + j])
-                    self.shift[pair] = min(self.shift.get(pair, most), run - 1 - j)
-                self.buckets[(ws[k + run - 2], ws[k + run - 1])][tuple(ws[k : k + run - 2])].append((item, k))
+    """Pairs of words of many items, searched at once."""
+
+    def __init__(self, items: dict[int, list[str]], share: float = 0.6) -> None:
+        self.items = {i: ws for i, ws in items.items() if ws}
+        self.share = share
+        pair_items = Counter(p for ws in self.items.values() for p in set(zip(ws, ws[1:])))
+        word_items = Counter(w for ws in self.items.values() for w in set(ws))
+        #: by the last word of a pair: the word before it, then where the pair lies in which item
+        self.buckets: dict[str, dict[str, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: by a word: the items that are found by single words, and where it lies in them
+        self.single: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.shift: dict[str, int] = {}
+        self.need: dict[int, int] = {}
+        for item, ws in self.items.items():
+            n = len(ws)
+            need = self.need[item] = max(1, ceil(share * n - 1e-9))
+            spare = 2 * need - n - 1 - (1 + n // 8) - 1  # whole pairs of an occurrence, but one
+            if spare >= 0:
+                places = sorted(range(n - 1), key=lambda k: (-pair_items[(ws[k], ws[k + 1])], k))
+                for k in places[spare:]:
+                    self.buckets[ws[k + 1]][ws[k]].append((item, k))
+            else:
+                for k in sorted(range(n), key=lambda k: (-word_items[ws[k]], k))[need - 1 :]:
+                    self.single[ws[k]].append((item, k))
+        for last, firsts in self.buckets.items():
+            self.shift[last] = 0
+            for first in firsts:
+                self.shift.setdefault(first, 1)
         self.buckets = {a: dict(b) for a, b in self.buckets.items()}
+        self.single = dict(self.single)
+        self.sets = {i: frozenset(ws) for i, ws in self.items.items()}
         self.masks: dict[int, dict[str, int]] = {}
 
-    def places(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """For each item the (place in the text, place in the item) of the runs found."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        shift, buckets, run = self.shift, self.buckets, self.run
-        most, n, at = run - 1, len(text), run - 1
-        while at < n:
-            pair = (text[at - 1], text[at])
-            step = shift.get(pair, most)
-            if step:
-                at += step
-                continue
-            start = at - run + 1
-            hits = buckets[pair].get(tuple(text[start : at - 1]))
-            if hits:
-                for item, k in hits:
-                    found[item].append((start, k))
-            at += 1
+    def places(self, text: list[str]) -> dict[int, list[int]]:
+        """For each item where in the text it would begin, by the pairs and words found."""
+        found: dict[int, list[int]] = defaultdict(list)
+        if self.buckets:
+            shift, buckets = self.shift.get, self.buckets
+            n, at = len(text), 1
+            while at < n:
+                step = shift(text[at], 2)
+                if step:
+                    at += step
+                    continue
+                hits = buckets[text[at]].get(text[at - 1])
+                if hits:
+                    for item, k in hits:
+                        found[item].append(at - 1 - k)
+                at += 1
+        if self.single and not self.single.keys().isdisjoint(text):
+            for at, w in enumerate(text):
+                for item, k in self.single.get(w, ()):
+                    found[item].append(at - k)
         return found
 
     def common(self, item: int, window: list[str]) -> int:
@@ -136,33 +153,82 @@ class WuManber:
                 row = (row + u | row - u) & full
         return n - row.bit_count()
 
-    def coverage(self, text: list[str], item: int, places: list[tuple[int, int]]) -> float:
-        """The largest share of the item's words that lies in one neighbourhood of the text, in order."""
-        n = len(self.items[item])
+    def coverage(self, text: list[str], item: int, begins: list[int]) -> float:
+        """The largest share of the item's words that lies in one neighbourhood of the text, in order; 0 if too small."""
+        n, different = len(self.items[item]), self.sets[item]
+        # an occurrence lacks at most n - need words, so at least so many different ones are there
+        least = len(different) - (n - self.need[item])
         slack = max(4, n // 3)
-        best, last = 0.0, None
-        for start, k in sorted(places, key=lambda p: p[0] - p[1]):
-            begin = start - k
-            if last is not None and begin - last < max(3, n // 8):
+        best, last = 0, None
+        for begin in sorted(begins):
+            if last is not None and begin - last < max(1, n // 8):
                 continue
             last = begin
-            low = max(0, begin - slack // 2)
-            best = max(best, self.common(item, text[low : begin + n + slack]) / n)
-        return best
+            window = text[max(0, begin - slack // 2 - n // 8) : begin + n + slack]
+            if len(different.intersection(window)) >= least:
+                best = max(best, self.common(item, window))
+        return best / n if best >= self.need[item] else 0.0
 
-    def leaks(self, text: str | None, share: float) -> list[tuple[int, float]]:
+    def leaks(self, text: str | None) -> list[tuple[int, float]]:
         ws = words(text)
-        if len(ws) < self.run:
-            return []
-        out = []
-        for item, places in self.places(ws).items():
-            # runs of two words apart can't reach the share without several places
-            if len(places) * self.run * 4 < share * len(self.items[item]):
-                continue
-            c = self.coverage(ws, item, places)
-            if c >= share:
-                out.append((item, c))
-        return out
+        found = ((item, self.coverage(ws, item, begins)) for item, begins in self.places(ws).items())
+        return [(item, c) for item, c in found if c]
+
+
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (i, k, k == len(parts) - 1, part)
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for parts in [sentences(text)]
+            for k, part in enumerate(parts)
+        ]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        types = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["i", "pos", "last", "ws"])
+
+
+def item_words(items: DataFrame, shared: int = 3) -> DataFrame:
+    """(i, ws): the words of each item (i, t), without closing sentences that ``shared`` different items or more have."""
+    rows = items.mapInArrow(_sentence_rows, "i long, pos int, last boolean, ws array<string>")
+    texts = items.select("i", F.md5("t").alias("h"))
+    ends = rows.where("last and pos > 0 and size(ws) > 0").join(texts, "i").groupBy(F.md5(F.array_join("ws", " ")).alias("key"))
+    stock = ends.agg(F.count_distinct("h").alias("n")).where(F.col("n") >= shared).select("key", F.lit(True).alias("stock"))
+    marked = rows.withColumn("key", F.md5(F.array_join("ws", " "))).join(stock, "key", "left")
+    told = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("stock", F.lit(False)).alias("stock"), "ws")))
+    listed = marked.groupBy("i").agg(told.alias("parts"))
+    own = F.greatest(F.array_max(F.transform("parts", lambda p: F.when(~p.stock, p.pos))), F.lit(0))
+    kept = F.filter("parts", lambda p: p.pos <= own)
+    return listed.select("i", F.flatten(F.transform(kept, lambda p: p.ws)).alias("ws")).where("size(ws) > 0")
+
+
+_MACHINES: dict[str, WuManber] = {}
+
+
+def _machine(key: str, table: dict[int, list[str]], share: float) -> WuManber:
+    """The machine of a block, built once in each worker process."""
+    if key not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[key] = WuManber(table, share)
+    return _MACHINES[key]
+
+
+def _search(texts: DataFrame, table: dict[int, list[str]], share: float) -> DataFrame:
+    key = hashlib.md5(repr((share, sorted(table.items()))).encode()).hexdigest()
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(key, shared.value, share)
+        for batch in batches:
+            cols: tuple[list, ...] = ([], [], [])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for item, c in machine.leaks(text):
+                    for col, v in zip(cols, (doc, item, c)):
+                        col.append(v)
+            types = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "class", "coverage"])
+
+    return texts.mapInArrow(go, "doc_id long, class long, coverage double")
 
 
 def find_leaks(
@@ -174,44 +240,26 @@ def find_leaks(
     item_id_col: str = "item_id",
     item_text_col: str = "item_text",
     share: float = 0.6,
-    run: int = 3,
-    block: int = 20_000,
+    block_words: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, coverage) of every text that holds at least ``share`` of an item."""
     given = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     given = given.where(F.col("i").isNotNull() & (F.trim("t") != "")).groupBy("i").agg(F.max("t").alias("t"))
+    cleaned = cut_lineage(item_words(given).withColumn("h", F.md5(F.array_join("ws", " "))))
+    classes = cleaned.groupBy("h").agg(F.min("i").alias("class"), F.any_value("ws").alias("ws"))
     chosen = texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
-    schema = "doc_id long, item_id long, coverage double"
-
-    def search(table: dict[int, list[str]]) -> DataFrame:
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = WuManber(table, run)
-            for batch in batches:
-                cols: tuple[list, ...] = ([], [], [])
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for item, c in machine.leaks(text, share):
-                        for col, v in zip(cols, (doc, item, c)):
-                            col.append(v)
-                types = (pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "coverage"]
-                )
-
-        return chosen.mapInArrow(go, schema)
-
-    # closings are counted over all items before the blocks are cut
-    stock = stock_closings(r["t"] for r in given.select("t").toLocalIterator())
-    found = None
-    buffer: list[tuple[int, str]] = []
-    for row in given.orderBy("i").toLocalIterator():
-        buffer.append((row["i"], row["t"]))
-        if len(buffer) == block:
-            part = search(item_words(buffer, stock))
-            found = part if found is None else found.unionByName(part)
-            buffer = []
-    if buffer or found is None:
-        part = search(item_words(buffer, stock))
+    found, block, held = None, {}, 0
+    for row in classes.select("class", "ws").toLocalIterator():
+        if block and held + len(row["ws"]) > block_words:
+            part = _search(chosen, block, share)
+            found, block, held = part if found is None else found.unionByName(part), {}, 0
+        block[row["class"]] = row["ws"]
+        held += len(row["ws"])
+    if block or found is None:
+        part = _search(chosen, block, share)
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+    names = cleaned.select("h", F.col("i").alias("item_id")).join(classes.select("h", "class"), "h").select("class", "item_id")
+    best = found.groupBy("doc_id", "class").agg(F.max("coverage").alias("coverage"))
+    return best.join(names, "class").select("doc_id", "item_id", "coverage")
