@@ -30,16 +30,51 @@ def test_ratios(spark):
     assert (r.n_words, r.n_lines, r.mean_word_length, r.ended_line_share) == (3, 2, pytest.approx(10 / 3, abs=1e-5), 0.5)
 
 
-def test_summaries_are_associative():
+TOKENS = ["the ", "and ", "x;", "字", "的", "9", ". ", "- a", "don't ", "。", "? ", "   ", "| ", "wörd", "Bob: ", '."', "=", "\t"]
+
+
+def pieces(text, size):
+    out = []
+    for line, fresh, token, word, part in Q.chunks(text, size):
+        out.append((line, Q.count_lines(part) if line < 0 else Q.piece(part, fresh, token, word)))
+    return out
+
+
+def test_pieces_are_associative_and_add_up_to_the_line():
     rng = random.Random(5)
-    for _ in range(60):
-        text = "".join(rng.choice(["the ", "and ", "x;", "\n", "字", "9", ". ", "- a"]) for _ in range(rng.randrange(1, 80)))
-        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(4))
-        parts = [Q.summary(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    for k in range(120):
+        unit = "".join(rng.choice(TOKENS) for _ in range(rng.randrange(1, 60)))
+        text = (rng.choice(["", "Ann Lee: ", "- ", "2024-01-01 10:00 ", "key = "]) + unit * 60 + rng.choice(["", "a" * 900, "!" * 700]) + unit * 9).replace("\n", "")
+        parts = [p for _, p in pieces(text, 330)]
+        if len(parts) < 3 or isinstance(parts[0], list):
+            continue
         left = parts[0]
         for p in parts[1:]:
             left = Q.add(left, p)
         right = parts[-1]
         for p in reversed(parts[:-1]):
             right = Q.add(p, right)
-        assert Q.close(left) == Q.close(right) == Q.close(Q.summary(text))
+        assert left == right
+        assert Q.close(left) == Q.count_lines(text), text[:200]
+        assert len(str(left)) < 2000
+
+
+def test_chunks_cover_the_text():
+    text = ("word " * 400 + "\n" + "a" * 1000 + " b\n\nshort\n") * 3
+    parts = list(Q.chunks(text, 320))
+    joined = "".join(("\n" if k and fresh else "") + part for k, (_, fresh, _, _, part) in enumerate(parts))
+    assert joined.rstrip("\n") == text.rstrip("\n") and max(len(p[-1]) for p in parts) <= 330
+
+
+def test_length_makes_no_difference(spark):
+    """Every document of a test table in one piece, and in chunks that are summed over partitions."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are missing")
+    docs = spark.read.parquet(path)
+    one_line = docs.selectExpr("doc_id + 1000000 as doc_id", "replace(text, '\n', ' ') as text")
+    docs = docs.select("doc_id", "text").unionByName(one_line)
+    whole, cut = (sorted(map(tuple, Q.text_statistics(docs, chunk_chars=size).collect())) for size in (1_000_000, 320))
+    assert whole == cut
