@@ -1,16 +1,19 @@
 """Where source files come from: hand-written, generated, minified, third-party or data.
 
 The directory tree of every project is hashed bottom-up (a Merkle tree): the hash
-of a file is that of its text without comments and layout, the hash of a
-directory that of the hashes below it. The same hash in several projects marks a
-copy of third-party code, whatever its name and place; the topmost shared
-directories are the vendored subtrees. Notices at the head of a file and its
-layout (the lines of minified scripts, of number tables, of encoded bytes) tell
-the rest, as do directories that are meant for foreign code.
-
-Directories are hashed level by level. Each round groups the children of one
-level by a sum of hashes, which needs no list of members, so a directory of any
-size is one row of partial sums before the shuffle.
+of a file is that of its text without comments and layout, the hash of a directory
+a sum over its children. A subtree of several files that several projects hold is
+vendored code, whatever its name and place, and decides all files below it; files
+outside of such subtrees are decided by their own hash. Notices at the head of a
+file and its layout (the lines of minified scripts, of number tables, of encoded
+bytes) tell the rest, as do directories that are meant for foreign code. A banner
+with a name and version is a notice of foreign code unless the project has that
+name; a licence or copyright line is none, as hand-written files have them, too.
+
+The sums of directories add up, so the sum of a directory is that of the files
+below it: each file gives its four 32-bit words to all its directories, and one
+aggregation with partial sums before the shuffle hashes all levels at once. It
+needs no list of members, and a directory of any size is one row of sums a task.
 
 Defined results for odd input
 -----------------------------
@@ -55,10 +58,10 @@ _GENERATED = (
     r"|(?:edits|changes)(?: are| will be| to this file)? (?:overwritten|lost)|@(?:[\w.]+\.)?Generated\s*\("
 )
 _THIRD = (
-    r"(?im)^\W*(?:upstream|homepage|project page|origin)\s*:\s*https?://|SPDX-License-Identifier"
-    r"|^\W*@licen[cs]e\b|\blicen[cs]e\b[^\n]*\bupstream\b|\(c\)[^\n]*\b(?:contributors|authors)\b"
-    r"|^(?:/\*!|#|//)\s*[\w.-]+ v\d+\.\d+(?:\.\d+)?\s*$|\bvendored (?:from|copy)\b|\bcopied from https?://"
+    r"(?im)^\W*(?:upstream|origin)\s*:\s*https?://|\bvendored (?:from|copy)\b|\bcopied from https?://"
+    r"|^\W*this (?:file|module|copy) (?:was|is) (?:copied|taken|imported) from\b"
 )
+_BANNER = r"(?m)^(?:/\*!|#|//|\*|/\*)[ \t]*+([\w.-]++)[ \t]++v?\d++\.\d++(?:\.\d++)?+[ \t\r]*+$"
 _NUMBER = r"-?(?:0[xX][0-9A-Fa-f]++|\d++(?:\.\d++)?+(?:[eE][-+]?+\d++)?+)[lLfFdD]?+"
 _BLOB = r"b?\"[^\"\s]{20,}+\"|b?'[^'\s]{20,}+'"
 _DATA_LINE = rf"(?m)^[ \t]*+(?:(?:{_NUMBER}|{_BLOB})[ \t]*+[,+]?+[ \t]*+)(?:(?:{_NUMBER}|{_BLOB})[ \t]*+,?+[ \t]*+)*+[)\]}};]*+[ \t\r]*+$"
@@ -93,8 +96,10 @@ def signals(files: DataFrame, *, id_col="file_id", path_col="file_path", project
     data = total - F.length(F.regexp_replace(F.regexp_replace("code", _DATA_LINE, ""), _LONG_BLOB, ""))
     dirs = F.split(F.lower("path"), "/")
     in_foreign = F.arrays_overlap(F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0))), F.array(*map(F.lit, FOREIGN_DIRS)))
+    named = F.lower(F.regexp_extract(head, _BANNER, 1))
+    foreign_name = (named != "") & ~F.contains(F.lower("project"), named)
     lines = F.array(
-        F.when(in_foreign | head.rlike(_THIRD), F.lit("third-party")),
+        F.when(in_foreign | foreign_name | head.rlike(_THIRD), F.lit("third-party")),
         F.when(head.rlike(_GENERATED), F.lit("generated")),
         F.when((F.col("lang") == "javascript") & (F.length(long) > 0.5 * total) & (marks > 0.02 * F.length(long)), F.lit("minified")),
         F.when((data > 800) & (data > 0.5 * total), F.lit("data")),
@@ -128,28 +133,27 @@ def _with_validity(rows: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
+def _directories(path: Column) -> Column:
+    """The directories above a path, the project's root ('') first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
+def _with_directories(files: DataFrame) -> DataFrame:
+    return files.where("h is not null").select("project", "path", "h").distinct()
+
+
 def merkle(files: DataFrame) -> DataFrame:
     """(project, path, node_hash, n_files) of every file and directory; ``files`` has project, path and h."""
-    level = F.size(F.split("path", "/")) - 1
-    nodes = files.where("h is not null").select("project", "path", F.col("h").alias("node_hash")).distinct()
-    nodes = cut_lineage(nodes.withColumn("n_files", F.lit(1).cast("long")).withColumn("level", level))
-    depth = nodes.agg(F.max("level").alias("d")).first()["d"] or 0
-    done = nodes
-    above = None
-    for k in range(depth, 0, -1):
-        here = nodes.where(F.col("level") == k)
-        here = here if above is None else here.unionByName(above)
-        # equal children are counted before their hashes are combined, so that copies don't cancel out
-        counted = here.groupBy("project", F.regexp_replace("path", "/[^/]*$", "").alias("path"), "node_hash").agg(
-            F.count("*").alias("n"), F.sum("n_files").alias("n_files")
-        )
-        above = counted.groupBy("project", "path").agg(
-            F.concat(F.lit("d"), F.hex(F.bit_xor(F.xxhash64("node_hash", "n"))), F.hex(F.bit_xor(F.xxhash64("n", "node_hash")))).alias("node_hash"),
-            F.sum("n_files").alias("n_files"),
-        ).withColumn("level", F.lit(k - 1))
-        above = cut_lineage(above)
-        done = done.unionByName(above)
-    return done.select("project", "path", "node_hash", "n_files")
+    leaves = _with_directories(files)
+    words = [F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long").alias(f"w{k}") for k in range(4)]
+    sums = [F.sum(f"w{k}").alias(f"w{k}") for k in range(4)]
+    above = leaves.select("project", F.explode(_directories(F.col("path"))).alias("path"), *words)
+    folders = above.groupBy("project", "path").agg(F.count("*").alias("n_files"), *sums)
+    node = F.concat(F.lit("d"), F.md5(F.concat_ws(" ", "n_files", *(f"w{k}" for k in range(4)))))
+    return leaves.select("project", "path", F.col("h").alias("node_hash"), F.lit(1).cast("long").alias("n_files")).unionByName(
+        folders.select("project", "path", node.alias("node_hash"), "n_files")
+    )
 
 
 def shared_subtrees(tree: DataFrame, min_projects: int = 2) -> DataFrame:
@@ -158,17 +162,31 @@ def shared_subtrees(tree: DataFrame, min_projects: int = 2) -> DataFrame:
     return per_project.groupBy("node_hash").agg(F.count("*").alias("n_projects")).where(F.col("n_projects") >= min_projects)
 
 
+def copied_files(files: DataFrame, *, min_projects: int = 2, min_files: int = 2) -> DataFrame:
+    """(project, path, subtree, n_projects) of the files that several projects hold.
+
+    ``subtree`` is the topmost directory of at least ``min_files`` files around the
+    file that they share, or the file itself where they share no more than that.
+    """
+    tree = cut_lineage(merkle(files))
+    shared = tree.join(shared_subtrees(tree, min_projects), "node_hash")
+    is_folder = F.length("node_hash") > 32
+    folders = shared.where(is_folder & (F.col("n_files") >= min_files)).select("project", F.col("path").alias("subtree"), "n_projects")
+    above = _with_directories(files).select("project", "path", F.explode(_directories(F.col("path"))).alias("subtree"))
+    inside = above.join(folders, ["project", "subtree"])
+    single = shared.where(~is_folder).select("project", "path", F.col("path").alias("subtree"), "n_projects")
+    # the topmost one is the shortest
+    top = F.min(F.struct(F.length("subtree").alias("k"), "subtree", "n_projects")).alias("top")
+    every = inside.select("project", "path", "subtree", "n_projects").unionByName(single)
+    return every.groupBy("project", "path").agg(top).select("project", "path", "top.subtree", "top.n_projects")
+
+
 def classify(files: DataFrame, **columns) -> DataFrame:
     """(file_id, origin) of every file."""
     rows = signals(files, **columns)
     seen = cut_lineage(_with_validity(rows))
-    tree = merkle(seen)
-    shared = shared_subtrees(tree)
-    # a shared directory consists of shared files, so the hashes of files tell which rows are copies
-    copies = shared.where(~F.col("node_hash").startswith("d") | (F.length("node_hash") == 32)).select(
-        F.col("node_hash").alias("h"), F.lit(True).alias("copied")
-    )
-    marked = cut_lineage(seen.join(copies, "h", "left"))
+    copies = copied_files(seen).select("project", "path", F.lit(True).alias("copied"))
+    marked = cut_lineage(seen.join(copies, ["project", "path"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & F.col("h").isNotNull()))
     # a copy that nothing else tells: one of each text is parsed
     unread = marked.where("copied and told is null").groupBy("h").agg(F.min("file_id").alias("file_id"))
     texts = files.select(

@@ -19,9 +19,8 @@ def p3_found(spark, sf_dir):
 
 
 def p3_subtrees(spark, sf_dir):
-    """Files and directories whose content several projects hold, with their places."""
-    tree = file_origin.merkle(file_origin.signals(table(spark, sf_dir, "source_files")))
-    return tree.join(file_origin.shared_subtrees(tree), "node_hash").select("node_hash", "project", "path", "n_files", "n_projects")
+    """The files that several projects hold, with the topmost directory that they share."""
+    return file_origin.copied_files(file_origin.signals(table(spark, sf_dir, "source_files")))
 
 
 QUERIES = {"p3_found": p3_found, "p3_origin": p3_origin, "p3_subtrees": p3_subtrees}

@@ -52,3 +52,28 @@ def test_merkle_finds_the_shared_directory(spark):
 def test_empty_and_repeats(spark):
     assert origin(spark, []) == {}
     assert origin(spark, [(1, "a.py", "p", None, BODY), (1, "a.py", "p", None, BODY)]) == {1: "hand-written"}
+
+
+def test_notices_need_a_foreign_owner(spark):
+    heads = ["# SPDX-License-Identifier: MIT", "# Copyright (c) 2024 the mill authors\n# @license MIT", "# mill v1.2.3", "# otherlib v1.2.3", "# upstream: https://x.example/otherlib", "# homepage: https://x.example/mill"]
+    data = [(k, f"src/f{k}.py", "Mill-core", "python", f"{head}\nz = {k}\n") for k, head in enumerate(heads)]
+    assert origin(spark, data) == {0: "hand-written", 1: "hand-written", 2: "hand-written", 3: "third-party", 4: "third-party", 5: "hand-written"}
+
+
+def test_topmost_shared_subtree(spark, rows):
+    data = []
+    for k, (project, root) in enumerate([("p", "a/vlib"), ("q", "deep/er/copy"), ("r", "x")]):
+        for j in range(6):
+            data.append((10 * k + j, f"{root}/{'sub/' if j % 2 else ''}{'dir/' * (j // 3)}y{j}.py", project, None, f"y = {j}\n"))
+        data.append((10 * k + 9, f"own{k}.py", project, None, f"own = {k}\n"))
+    data += [(50, "alone.py", "p", None, "y = 99\n"), (51, "one/else.py", "q", None, "y = 99  # copy\n")]
+    files = O.signals(spark.createDataFrame([(*r, "clash") for r in data], SCHEMA))
+    got = {(r.project, r.path): (r.subtree, r.n_projects) for r in O.copied_files(files).collect()}
+    assert {v for (p, path), v in got.items() if p == "p" and path.startswith("a/")} == {("a/vlib", 3)}
+    assert {v for (p, path), v in got.items() if p == "q" and path.startswith("deep")} == {("deep/er/copy", 3)}
+    assert got[("p", "alone.py")] == ("alone.py", 2) and got[("q", "one/else.py")] == ("one/else.py", 2)
+    assert not any(path.startswith("own") for _, path in got) and len(got) == 20
+    assert {k for k, v in origin(spark, data).items() if v == "hand-written"} == {9, 19, 29}
+    # a fork shares its root
+    fork = [(k, f"s/f{k % 4}.py", "p" if k < 4 else "q", None, f"y = {k % 4}\n") for k in range(8)]
+    assert {r.subtree for r in O.copied_files(O.signals(spark.createDataFrame([(*r, "") for r in fork], SCHEMA))).collect()} == {""}
