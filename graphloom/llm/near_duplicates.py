@@ -13,8 +13,15 @@ is rare, two frequent ones are shared, so a pair of them meets. Each candidate i
 then verified on the whole sets. Elements that one text alone has count in the
 prefix, but are never indexed; most texts without a partner end there.
 
+A set of one element can share no more than that: such sets meet sets of two by
+their one element, which makes as many rows as there are results.
+
 Copies of one text are collapsed to one class before, so a large group of copies
-costs one row in the join.
+costs one row in the join. An element that very many texts hold is counted by a
+partial aggregation, and its rows are spread over the tasks; which elements these
+are is guessed from a share of the texts, which changes where rows go, but no count
+and no result. ``similar_pairs`` expands groups of copies to all their pairs;
+``similar_groups`` gives one row per record and is what scales.
 
 Defined results for odd input
 -----------------------------
@@ -64,8 +71,19 @@ def _rows(records: DataFrame, id_col: str, text_col: str, order_col: str | None)
     )
 
 
+def _frequent(classes: DataFrame, each: DataFrame, gram: int, hot_rows: int, share: int) -> DataFrame:
+    """(g, total) of elements that about ``hot_rows`` classes or more hold, 100,000 at most, counted over all classes.
+
+    The guess reads one class of ``share`` (by hash); an element that it misses is counted like any other.
+    """
+    some = classes.where(F.pmod("h", F.lit(share)) == 0).select(F.explode(sequences(F.col("text"), gram)).alias("g"))
+    many = some.groupBy("g").agg(F.count("*").alias("seen")).where(F.col("seen") * share >= hot_rows)
+    hot = cut_lineage(many.orderBy(F.desc("seen"), "g").limit(100_000).select("g"))
+    return each.join(F.broadcast(hot), "g", "left_semi").groupBy("g").agg(F.count("*").alias("total"))
+
+
 def link_classes(
-    rows: DataFrame, *, threshold: float = 0.5, gram: int = 4, rare: int = 32, extend: int = 1
+    rows: DataFrame, *, threshold: float = 0.5, gram: int = 4, rare: int = 32, extend: int = 1, hot_rows: int = 200_000, share: int = 64
 ) -> DataFrame:
     """(h_a, h_b, similarity) of the classes of copies that are similar, h_a < h_b.
 
@@ -75,8 +93,11 @@ def link_classes(
     classes = rows.groupBy("h").agg(F.max("text").alias("text"))
     grams = classes.select("h", sequences(F.col("text"), gram).alias("grams"))
     each = grams.select("h", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    hot = _frequent(classes, each, gram, hot_rows, share)
+    spread = F.when(F.col("total").isNotNull(), F.pmod("h", F.lit(1024))).otherwise(0).cast("short")
+    salted = each.join(F.broadcast(hot), "g", "left").withColumn("salt", spread)
     # one exchange serves the count and the rows it counts
-    counted = each.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+    counted = salted.withColumn("df", F.coalesce("total", F.count("*").over(Window.partitionBy("g", "salt")))).where("df > 1")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1 + extend
     sets = (
         counted.groupBy("h")
@@ -88,7 +109,7 @@ def link_classes(
     head = sets.select("h", "n", F.slice("items", 1, F.col("indexed")).alias("head"))
     # similar sets differ in size by the threshold at most: with these two bounds, an element that two of them share is
     # indexed alone in both or takes part in pairs in both, and long sets make few pairs
-    alone = head.select("h", "n", F.explode("head").alias("x")).where(f"x.df <= greatest({rare}, n / 2) or n <= 8").select(
+    alone = head.select("h", "n", F.explode("head").alias("x")).where(f"x.df <= greatest({rare}, n / 2)").select(
         "h", "n", F.col("x.g").alias("sig")
     )
     frequent = F.filter("head", lambda x: x.df > F.greatest(F.lit(rare), F.col("n") * threshold / 2))
@@ -103,7 +124,13 @@ def link_classes(
     left = index.select("sig", F.col("h").alias("h_a"), F.col("n").alias("n_a"))
     right = index.select("sig", F.col("h").alias("h_b"), F.col("n").alias("n_b"))
     fits = (F.col("h_a") < F.col("h_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    pairs = left.join(right, "sig").where(fits).select("h_a", "h_b").distinct()
+    met = left.join(right, "sig").where(fits).select("h_a", "h_b")
+    # the one element of a set may be frequent
+    tiny = sets.where("n <= 2").select("h", "n", F.explode("items.g").alias("sig"))
+    one = tiny.where("n = 1").select("sig", F.col("h").alias("x"))
+    two = tiny.select("sig", F.col("h").alias("y"))
+    by_one = one.join(two, "sig").where("x <> y").select(F.least("x", "y").alias("h_a"), F.greatest("x", "y").alias("h_b"))
+    pairs = met.unionByName(by_one).distinct()
     whole = sets.select("h", "n", F.transform("items", lambda x: x.g).alias("s"))
     a = whole.select(F.col("h").alias("h_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     b = whole.select(F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))

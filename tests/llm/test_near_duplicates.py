@@ -28,11 +28,19 @@ def test_against_brute_force_with_large_families(spark):
             words[at : at + rng.randrange(0, 2)] = [f"new{rng.randrange(9)}"] * rng.randrange(0, 2)
         texts[f"r{k:03d}"] = " ".join(words) + rng.choice(["", " # note", "\n"])
     df = spark.createDataFrame([(i, t, "1", 0, 0) for i, t in texts.items()], SCHEMA)
-    for rare in (2, 32):
-        got = {tuple(r) for r in N.similar_pairs(df, rare=rare).collect()}
+    for rare, options in ((2, {}), (32, {}), (2, {"hot_rows": 4, "share": 2}), (0, {"hot_rows": 1, "share": 1})):
+        got = {tuple(r) for r in N.similar_pairs(df, rare=rare, **options).collect()}
         assert got == brute(texts)
 
 
+def test_short_texts_of_frequent_tokens(spark):
+    rng = random.Random(7)
+    texts = {f"r{k:03d}": " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for k in range(150)}
+    df = spark.createDataFrame([(i, t, "1", 0, 0) for i, t in texts.items()], SCHEMA)
+    for rare in (1, 3):
+        assert {tuple(r) for r in N.similar_pairs(df, rare=rare).collect()} == brute(texts)
+
+
 def test_odd_rows(spark, rows):
     body = "a = f(b, c) + g(d) - h(e)"
     data = [("x", body, "1", 0, 0), ("y", body + "  # same", "1", 0, 0), ("y", "old text", "0", 0, 0), ("z", None, "1", 0, 0), (None, body, "1", 0, 0),
