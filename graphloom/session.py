@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -16,14 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing and no folder was set by hand (local
-    tests) is a temporary one created.
+    Where that setting is missing and no folder was set by hand, a temporary one is
+    created in local mode, as in tests; on a cluster that is an error, because the
+    executors share no local folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='graphloom-checkpoint-')}")
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='graphloom-checkpoint-')}"
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
