@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +13,9 @@ STOP_WORDS = (
     "a an and are as at be but by for from had has have he her his i if in into is it its me my no nor not of on or our she so "
     "than that the their them then there these they this those to too was we were what when where which who will with you your"
 ).split()
-#: What is redacted, in order; the replacement follows each pattern.
-REDACTIONS = (
-    (r"(?i)(password|passwd|pwd)\s*[:=]\s*\S+", "$1=[REDACTED]"),
-    (r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*\S+", "$1=[REDACTED]"),
-    (r"AKIA[0-9A-Z]{16}", "[AWS_KEY]"),
-    (r"(?i)bearer\s+[a-z0-9._-]{16,}", "Bearer [REDACTED]"),
-    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
-)
+#: Full-width forms and what they are equal to; the rest of NFKC needs ``nfkc``.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("＇", "") + "\u3000"
+NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "") + " "
 
 
 def tokens(text: Column) -> Column:
@@ -31,12 +27,27 @@ def content_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
+def narrow(text: Column) -> Column:
+    """Full-width letters, digits and marks as ordinary ones."""
+    return F.translate(text, WIDE, NARROW)
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility form of a text; only texts beyond ASCII change, but all go to Python in batches."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return form(text)
+
+
 def normalize_for_compare(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(narrow(text)), r"\s+", " "))
 
 
 def normalize_for_id(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.lower(narrow(text)), r"[^\p{L}\p{N}]+", "")
 
 
 def truncate(text: Column, n: int) -> Column:
@@ -44,10 +55,6 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 1)), F.lit("…"))).otherwise(text)
 
 
-def redact(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), REDACTIONS, text)
-
-
 def search_text_quality(text: Column) -> Column:
     """The verdict of the first rule that holds, and why."""
     t = F.trim(F.coalesce(text, F.lit("")))
@@ -71,18 +78,6 @@ def han_ratio(text: Column) -> Column:
     return (F.char_length(solid) - F.char_length(F.regexp_replace(solid, "[一-鿿]", ""))) / F.nullif(F.char_length(solid), F.lit(0))
 
 
-def sensitivity(text: Column) -> Column:
-    """HIGH, MEDIUM or LOW by the number of pattern families that occur."""
-    families = (
-        r"(?i)\b(password|secret|api[_ -]?key|token|credential)\b",
-        r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-        r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b",
-        r"(?i)\b(customer|invoice|account|wallet)\b",
-    )
-    n = sum((F.coalesce(text.rlike(f), F.lit(False)).cast("int") for f in families[1:]), F.coalesce(text.rlike(families[0]), F.lit(False)).cast("int"))
-    return F.when(n >= 3, "HIGH").when(n >= 1, "MEDIUM").otherwise("LOW")
-
-
 def anchors(text: Column) -> Column:
     """Distinct anchors of a text: percentages and measures, CamelCase, snake_case, acronyms, in this order."""
     families = (r"([0-9]+(?:\.[0-9]+)?\s?(?:%|percent|ms|seconds|days|megabytes))", r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", r"\b([a-z]+(?:_[a-z]+)+)\b", r"\b([A-Z]{2,})\b")

@@ -115,13 +115,3 @@ def greedy_clusters(rows: DataFrame, group: str, threshold: float = 0.92, block:
 
     ordered = rows.select(group, "id", "vec").repartition(group).sortWithinPartitions(group, "id")
     return ordered.mapInArrow(run, f"`{group}` {kinds[group]}, id {kinds['id']}, seed {kinds['id']}")
-
-
-def conflict_score(old_steps: Column, new_steps: Column, text: Column) -> Column:
-    """How far a candidate contradicts what is known: steps that differ, strong and mild words of change."""
-    shared = F.size(F.array_intersect(old_steps, new_steps))
-    union = F.size(F.array_union(old_steps, new_steps))
-    apart = F.when(union == 0, 0.0).otherwise(1 - shared / union)
-    strong = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(never|instead|deprecated|replace|wrong)\b"), 1))
-    mild = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(change|update|adjust|optional)\b"), 1))
-    return F.when(apart > 0.5, 0.3).otherwise(0.0) + F.least(strong, F.lit(3)) * 0.4 + F.least(mild, F.lit(3)) * 0.1

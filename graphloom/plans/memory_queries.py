@@ -137,16 +137,6 @@ def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text", "title")
 
 
-_REDACT_SQL = "text"
-for _pattern, _with in T.REDACTIONS:
-    _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, '{_pattern}', '{_with.replace('$1', chr(92) + '1')}', 'g')"
-
-
-@catalog.query(f"SELECT doc_id, {_REDACT_SQL} AS text FROM documents WHERE text IS NOT NULL")
-def redact_secrets(spark, sf_dir):
-    return _texts(spark, sf_dir).where("text is not null").select("doc_id", T.redact(F.col("text")).alias("text"))
-
-
 @catalog.query(
     r"""WITH t AS (SELECT doc_id, trim(coalesce(title, '')) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN 'CRITICAL:empty' WHEN length(t) < 2 THEN 'CRITICAL:short'
 WHEN regexp_matches(t, '^[0-9]+$') THEN 'CRITICAL:digits' WHEN regexp_matches(t, '^[^\p{L}\p{N}]+$') THEN 'CRITICAL:punctuation'
@@ -157,19 +147,11 @@ def search_text_quality(spark, sf_dir):
 
 
 @catalog.query(
-    r"""WITH t AS (SELECT doc_id, regexp_matches(text, '(?i)\b(password|secret|api[_ -]?key|token|credential)\b')::INT + regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')::INT
-+ regexp_matches(text, '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b')::INT + regexp_matches(text, '(?i)\b(customer|invoice|account|wallet)\b')::INT AS n FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM t"""
-)
-def sensitivity(spark, sf_dir):
-    return _texts(spark, sf_dir).where("text is not null").select("doc_id", T.sensitivity(F.col("text")).alias("level"))
-
-
-@catalog.query(
-    r"""SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS compare_key, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS id_key FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\s]*$')"""
+    rf"""WITH w AS (SELECT doc_id, lower(translate(text, '{T.WIDE}', '{T.NARROW}')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS compare_key, regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g') AS id_key FROM w"""
 )
 def normalised_texts(spark, sf_dir):
-    rows = _texts(spark, sf_dir).where("text is not null").where(F.col("text").rlike(r"^[ -~\s]*$"))
+    rows = _texts(spark, sf_dir).where("text is not null")
     return rows.select("doc_id", T.normalize_for_compare(F.col("text")).alias("compare_key"), T.normalize_for_id(F.col("text")).alias("id_key"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import vectors as V
 from graphloom.operators import retrieval as R
 from graphloom.plans.catalog import MEMORY_SQL, Catalog
+from graphloom.plans.hits import HITS_SQL, hits
 from graphloom.sources.graph_tables import memory_edges, memory_nodes
 from graphloom.session import table
 
@@ -125,18 +126,12 @@ def top_words(spark, sf_dir):
 
 
 # -- memory graph ------------------------------------------------------------------
-# a deterministic stand-in for vector hits: a distance for every node, from the digits of its id
-_HIT_SQL = "(('0x' || substr(md5(id), 1, 6))::BIGINT % 1000) / 1000.0"
-
-
 def _hits(spark, sf_dir):
-    nodes = memory_nodes(spark, sf_dir)
-    score = (F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 1000) / 1000.0
-    return nodes.select("id", score.alias("score")).where("score < 0.5")
+    return hits(spark, sf_dir).select("id", F.col("d").alias("score"))
 
 
 @catalog.query(
-    f"""WITH {MEMORY_SQL}, h AS (SELECT id, {_HIT_SQL} AS d FROM m WHERE {_HIT_SQL} < 0.5),
+    f"""WITH {MEMORY_SQL}, {HITS_SQL},
 ef AS (SELECT DISTINCT src AS episode, dst AS facet FROM me WHERE relationship_name = 'has_facet'), fp AS (SELECT DISTINCT src AS facet, dst AS point FROM me WHERE relationship_name = 'has_point'),
 en AS (SELECT DISTINCT src AS holder, dst AS entity FROM me WHERE relationship_name = 'involves_entity'),
 fw AS (SELECT id AS facet, d AS c, 1 AS k FROM h UNION ALL SELECT facet, d + 0.9 + 0.05, 2 FROM fp JOIN h ON h.id = fp.point UNION ALL SELECT holder, d + 0.9 + 0.05, 3 FROM en JOIN h ON h.id = en.entity),
@@ -152,7 +147,7 @@ def episode_bundles(spark, sf_dir):
 
 
 @catalog.query(
-    f"""WITH {MEMORY_SQL}, h AS (SELECT id, {_HIT_SQL} AS d FROM m WHERE {_HIT_SQL} < 0.5),
+    f"""WITH {MEMORY_SQL}, {HITS_SQL},
 t AS (SELECT me.src, me.dst, me.relationship_name, coalesce(a.d, 3.5) + coalesce(b.d, 3.5) + 3.5 AS cost FROM me JOIN m x ON x.id = me.src JOIN m y ON y.id = me.dst
 LEFT JOIN h a ON a.id = me.src LEFT JOIN h b ON b.id = me.dst)
 SELECT src, dst, relationship_name, round(cost, 6) AS cost FROM t ORDER BY cost, src, dst, relationship_name LIMIT 20"""
@@ -188,16 +183,15 @@ def time_bonus(spark, sf_dir):
 
 
 @catalog.query(
-    f"""WITH {MEMORY_SQL}, h AS (SELECT node_type, {_HIT_SQL} AS d, row_number() OVER (PARTITION BY node_type ORDER BY {_HIT_SQL}, id) AS r FROM m),
-g AS (SELECT node_type, max(CASE WHEN r = 1 THEN d END) AS d1, max(CASE WHEN r = 2 THEN d END) AS d2 FROM h GROUP BY 1),
+    f"""WITH {MEMORY_SQL}, {HITS_SQL}, hr AS (SELECT node_type, d, row_number() OVER (PARTITION BY node_type ORDER BY d, id) AS r FROM h),
+g AS (SELECT node_type, max(CASE WHEN r = 1 THEN d END) AS d1, max(CASE WHEN r = 2 THEN d END) AS d2 FROM hr GROUP BY 1),
 f AS (SELECT node_type, d1, greatest(0, d2 - d1) AS gap, d1 / 0.6 AS ratio FROM g)
 SELECT node_type, round(d1, 6) AS best, round((CASE WHEN ratio <= 0.5 THEN 1 WHEN ratio <= 1 THEN 1 - (ratio - 0.5) WHEN ratio <= 1.5 THEN 0.5 - (ratio - 1) * 0.4 ELSE greatest(0.1, 0.3 - (ratio - 1.5) * 0.2) END)
 * (CASE WHEN gap < 0.01 THEN 0.2 WHEN gap <= 0.05 THEN 0.2 + (gap - 0.01) / 0.04 * 0.4 WHEN gap < 0.15 THEN 0.6 + (gap - 0.05) / 0.1 * 0.4 ELSE 1 END), 6) AS confidence FROM f"""
 )
 def collection_confidence(spark, sf_dir):
     """How far the best hit of each collection can be trusted, by its distance and its lead."""
-    score = (F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 1000) / 1000.0
-    rows = R.top_k(memory_nodes(spark, sf_dir).select("node_type", "id", score.alias("d")), ["node_type"], [F.col("d"), F.col("id")], 2)
+    rows = R.top_k(hits(spark, sf_dir), ["node_type"], [F.col("d"), F.col("id")], 2)
     best = rows.groupBy("node_type").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("d2"))
     gap = F.greatest(F.lit(0.0), F.col("d2") - F.col("d1"))
     confidence = R.distance_factor(F.col("d1") / 0.6) * R.gap_factor(gap)

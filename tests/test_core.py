@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import api
-from graphloom.functions import ids, text, vectors
+from graphloom.functions import ids, rules, text, vectors
 from graphloom.operators import chunking, codegraph, evaluation, memory, retrieval, traversal
 from graphloom.sources import files, relational
 
@@ -78,7 +78,8 @@ def test_vectors(spark):
 
 
 def test_text_rules(spark):
-    assert one(spark, text.redact(F.col("s")), s="password: abc x@y.org") == "password=[REDACTED] [EMAIL]"
+    assert one(spark, rules.redact(F.col("s")), s="password: abc and bearer " + "x" * 20) == "[REDACTED_PASSWORD] and [REDACTED_BEARER_TOKEN]"
+    assert one(spark, text.nfkc(F.col("s")), s="ﬁｎ①") == "fin1" and one(spark, text.narrow(F.col("s")), s="Ａ１　") == "A1 "
     assert one(spark, text.search_text_quality(F.col("s")), s="42") == "CRITICAL:digits"
     assert one(spark, text.truncate(F.col("s"), 4), s="abcdef") == "abc…"
     assert one(spark, text.tokens(F.col("s")), s="Schön ist's") == ["schön", "ist", "s"]
@@ -92,7 +93,7 @@ def test_memory(spark, rows):
     assert rows(memory.merge_times(times, "g")) == [("k", 0, 40, pytest.approx(0.8))]
     vecs = spark.createDataFrame([("g", 1, [1.0, 0.0]), ("g", 2, [0.99, 0.01]), ("g", 3, [0.0, 1.0])], "g string, id long, vec array<double>")
     assert rows(memory.greedy_clusters(vecs, "g")) == [("g", 1, 1), ("g", 2, 1), ("g", 3, 3)]
-    steps = memory.conflict_score(F.array(F.lit("a")), F.array(F.lit("b")), F.lit("never do it"))
+    steps = rules.conflict(F.array(F.lit("a")), F.array(F.lit("b")), F.lit("Remove it"), F.lit(""), F.lit(""))
     assert one(spark, steps) == pytest.approx(0.7)
 
 
