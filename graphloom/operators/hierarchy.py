@@ -124,39 +124,39 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id") -> DataFram
     ids = nodes.select(F.col(node_id).alias("node_id")).where("node_id is not null").distinct()
     fed = cycles(links)
     kept = links.join(fed, links.child == fed.node_id, "left_anti")
-    parent = kept.groupBy(F.col("child").alias("node_id")).agg(F.min("parent").alias("parent_id"))
-    parent = cut_lineage(parent)
+    parent = cut_lineage(kept.groupBy(F.col("child").alias("node_id")).agg(F.min("parent").alias("parent_id")))
+    # only nodes that are parents themselves take part in the rounds; leaves follow their parents at the end
+    parents = parent.select(F.col("parent_id").alias("up")).distinct()
+    inner = parent.join(parents, parent.node_id == parents.up, "left_semi")
     # open rows point at an ancestor that has a parent itself; done rows at a root
-    has_parent = parent.select(F.col("node_id").alias("up"), F.lit(True).alias("open"))
+    has_parent = parent.join(parents, parent.node_id == parents.up, "left_semi").select(F.col("node_id").alias("up"), F.lit(True).alias("open"))
     rows = (
-        parent.select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("tail"))
+        inner.select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("tail"))
         .join(has_parent, "up", "left")
         .select("node_id", "up", "tail", F.coalesce("open", F.lit(False)).alias("open"))
     )
     rows, left = cut_and_count(rows, "open")
+    done = rows.where("not open")
+    rows = rows.where("open")
     while left:
-        upper = rows.select(
-            F.col("node_id").alias("up"),
-            F.col("up").alias("next_up"),
-            F.col("tail").alias("next_tail"),
-            F.col("open").alias("next_open"),
+        # rows that are done are written once and only looked up afterwards
+        upper = done.unionByName(rows).select(
+            F.col("node_id").alias("up"), F.col("up").alias("next_up"), F.col("tail").alias("next_tail"), F.col("open").alias("next_open")
         )
-        moved = (
-            rows.where("open")
-            .join(upper, "up")
-            .select(
-                "node_id",
-                F.col("next_up").alias("up"),
-                F.concat("next_tail", "tail").alias("tail"),
-                F.col("next_open").alias("open"),
-            )
+        moved = rows.join(upper, "up").select(
+            "node_id", F.col("next_up").alias("up"), F.concat("next_tail", "tail").alias("tail"), F.col("next_open").alias("open")
         )
-        rows, left = cut_and_count(rows.where(~F.col("open")).unionByName(moved), "open")
-    inside = (
-        rows.join(parent, "node_id")
-        .select("node_id", "parent_id", F.col("up").alias("root_id"), F.concat(F.array("up"), "tail").alias("path"))
-        .withColumn("depth", F.size("path") - 1)
-    )
+        moved, left = cut_and_count(moved, "open")
+        done = done.unionByName(moved.where("not open"))
+        rows = moved.where("open")
+    above = done.select(F.col("node_id").alias("parent_id"), F.col("up").alias("root_id"), F.concat(F.array("up"), "tail").alias("above"))
+    # a parent without a row of its own is a root
+    inside = parent.join(above, "parent_id", "left").select(
+        "node_id",
+        "parent_id",
+        F.coalesce("root_id", "parent_id").alias("root_id"),
+        F.concat(F.coalesce("above", F.array("parent_id")), F.array("node_id")).alias("path"),
+    ).withColumn("depth", F.size("path") - 1)
     roots = (
         ids.join(links.select(F.col("child").alias("node_id")), "node_id", "left_anti")
         .select(
@@ -170,6 +170,13 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id") -> DataFram
     return roots.unionByName(inside).select("node_id", "parent_id", "root_id", "depth", "path")
 
 
+def descendant_counts(tree_rows: DataFrame) -> DataFrame:
+    """(node_id, n_descendants) of every node with children: the sum of the children of all nodes in its subtree."""
+    children = tree_rows.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
+    each = tree_rows.select("node_id", "path").join(children, "node_id").select(F.explode("path").alias("node_id"), "n")
+    return each.groupBy("node_id").agg(F.sum("n").alias("n_descendants"))
+
+
 def descendants(tree_rows: DataFrame) -> DataFrame:
     """(ancestor_id, node_id, distance) of every node and each of its proper ancestors."""
     return tree_rows.select("node_id", "depth", F.posexplode("path").alias("level", "ancestor_id")).where(

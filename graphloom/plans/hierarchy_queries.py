@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import hierarchy
-from graphloom.session import table
+from graphloom.session import cut_lineage, table
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,8 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tree(spark, sf_dir)
-    below = hierarchy.descendants(rows).groupBy(F.col("ancestor_id").alias("node_id")).agg(
-        F.count("*").alias("n_descendants")
-    )
+    rows = cut_lineage(_tree(spark, sf_dir))
+    below = hierarchy.descendant_counts(rows)
     return rows.join(below, "node_id", "left").select(
         "node_id",
         "parent_id",

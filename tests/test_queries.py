@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
-SLOW = {"p5_hierarchy", "p5_descendants"}
 
 
 def canon(frame: pd.DataFrame) -> list[tuple]:
@@ -37,7 +36,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) & set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) & set(entry.oracle_sql())))
 def test_matches_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()
