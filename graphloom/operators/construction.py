@@ -47,9 +47,9 @@ def facets_from_sections(rows: DataFrame, episode: str) -> DataFrame:
 
 def split_long(text: Column, least: int = 200, pack: int = 80, most: int = 10) -> Column:
     """The parts of a long text: its sections, or groups of its clauses between semicolons, or the text itself."""
-    parts = F.filter(F.transform(F.split(text, "【[^】]*】|\n#{1,6} "), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "【[^】]*】|\n#{1,6} "), lambda x: F.trim(x)), lambda p: p != "")
     fine = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: F.char_length(p) < 20)
-    clauses = F.filter(F.transform(F.split(F.regexp_replace(text, ";", "；"), "；"), F.trim), lambda p: p != "")
+    clauses = F.filter(F.transform(F.split(F.regexp_replace(text, ";", "；"), "；"), lambda x: F.trim(x)), lambda p: p != "")
     grouped = F.aggregate(
         clauses,
         F.array().cast("array<struct<t:string,n:int>>"),
