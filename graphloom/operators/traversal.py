@@ -87,13 +87,16 @@ def ancestors(tree_edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFr
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """(src, dst) of all pairs with a way of one step or more; each round doubles the length of the ways."""
-    pairs, count = cut_and_count(edges.select("src", "dst").distinct())
-    while True:
-        longer = pairs.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid")
-        pairs, now = cut_and_count(pairs.unionByName(longer.select("src", "dst")).distinct())
-        if now == count:
-            return pairs
-        count = now
+    new, left = cut_and_count(edges.select("src", "dst").distinct())
+    pairs = new
+    while left:
+        # only pairs of the last round can give further ones
+        ahead = new.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid")
+        behind = pairs.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid")
+        longer = ahead.select("src", "dst").unionByName(behind.select("src", "dst")).distinct()
+        new, left = cut_and_count(longer.join(pairs, ["src", "dst"], "left_anti"))
+        pairs = pairs.unionByName(new)
+    return pairs
 
 
 def triangles(edges: DataFrame) -> DataFrame:

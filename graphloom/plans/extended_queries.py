@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import timeparse
+from graphloom.functions.text import STOP_WORDS
 from graphloom.operators import retrieval as R
 from graphloom.operators import traversal
 from graphloom.plans.catalog import EDGES_SQL, MEMORY_SQL, NODES_SQL, Catalog
@@ -17,13 +18,22 @@ catalog = Catalog()
 _FN = "('function_definition','method_declaration','method_definition')"
 
 
-@catalog.query()
+_SEARCH_WORDS = f"list_filter(regexp_extract_all(lower(t), '([\\p{{L}}\\p{{N}}_]+)', 1), lambda x: x NOT IN ({', '.join(chr(39) + w + chr(39) for w in STOP_WORDS)}))"
+
+
+@catalog.query(
+    f"""WITH {NODES_SQL}, d AS (SELECT id, concat_ws(' ', node_name, fqn, source_code) AS t FROM n WHERE node_type IN {_FN[:-1]}, 'class_definition')), w AS (SELECT id, {_SEARCH_WORDS} AS words FROM d),
+f AS (SELECT id, words, len(words) AS n FROM w WHERE len(words) > 0), z AS (SELECT count(*) AS n_docs, avg(n) AS mean FROM f), p AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, n, unnest(words) AS term FROM f) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q(query_id, term) AS (VALUES (1, 'ledger_page'), (2, 'measure'), (2, 'registry'), (3, 'resolver')),
+s AS (SELECT query_id, id AS doc_id, sum(greatest(1e-5, ln((n_docs - df + 0.5) / (df + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN df USING (term) JOIN p USING (term) CROSS JOIN z GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+)
 def search_code(spark, sf_dir):
     """BM25 over name, full name and source of functions and classes, for a fixed set of three searches."""
     rows = code_nodes(spark, sf_dir, "node_type", "node_name", "fqn", "source_code").where(f"node_type in {_FN[:-1]}, 'class_definition')")
     docs = rows.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "node_name", "fqn", "source_code").alias("text"))
     asked = spark.createDataFrame([(1, "ledger_page"), (2, "measure registry"), (3, "resolver")], "query_id long, text string")
-    return R.top_k(R.bm25(docs, asked), ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 10)
+    return R.top_k(R.bm25(docs, asked), ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 10).withColumn("score", F.round("score", 6))
 
 
 @catalog.query(
@@ -183,9 +193,25 @@ def number_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(found)).alias("number"))
 
 
-@catalog.query()
+@catalog.query(
+    """WITH t AS (SELECT DISTINCT doc_id AS id, created_at::DATE AS d, doc_id % 5 AS k FROM documents WHERE created_at IS NOT NULL),
+r AS (SELECT id, CASE WHEN k < 2 THEN d WHEN k = 2 THEN date_trunc('month', d) WHEN k = 3 THEN date_trunc('quarter', d) ELSE date_trunc('year', d) END AS a,
+CASE WHEN k < 2 THEN d + INTERVAL 1 DAY WHEN k = 2 THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN k = 3 THEN date_trunc('quarter', d) + INTERVAL 3 MONTH ELSE date_trunc('year', d) + INTERVAL 1 YEAR END AS b, CASE WHEN k < 2 THEN 0.9 WHEN k < 4 THEN 0.8 ELSE 0.75 END AS confidence FROM t)
+SELECT id, epoch_ms(a::TIMESTAMP) AS start_ms, epoch_ms(b::TIMESTAMP) AS end_ms, confidence::DOUBLE AS confidence FROM r"""
+)
 def mentioned_times(spark, sf_dir):
-    return timeparse.mentioned_times(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", now_ms=1_750_000_000_000)
+    """The times that notes mention; the notes are written from the dates of documents in five ways."""
+    d, k = F.to_date("created_at"), F.col("doc_id") % 5
+    month = F.date_format(d, "MMMM")
+    note = (
+        F.when(k == 0, F.concat(F.lit("Written on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" by hand.")))
+        .when(k == 1, F.concat(F.lit("Seen "), month, F.lit(" "), F.dayofmonth(d).cast("string"), F.lit(", "), F.year(d).cast("string")))
+        .when(k == 2, F.concat(F.lit("A change in "), month, F.lit(" "), F.year(d).cast("string")))
+        .when(k == 3, F.concat(F.lit("Due Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string")))
+        .otherwise(F.concat(F.lit("Open since "), F.year(d).cast("string")))
+    )
+    notes = table(spark, sf_dir, "documents").where("created_at is not null").select("doc_id", note.alias("note")).distinct()
+    return timeparse.mentioned_times(notes, id_col="doc_id", text_col="note", now_ms=1_750_000_000_000).select("id", "start_ms", "end_ms", "confidence")
 
 
 @catalog.query(
@@ -202,7 +228,7 @@ def positional_join(spark, sf_dir):
 
 
 @catalog.query(
-    f"""WITH {EDGES_SQL}, i AS (SELECT src AS child, dst AS parent FROM e WHERE edge_type = 'IMPLEMENTS'), c AS (SELECT src AS owner, dst AS method FROM e WHERE edge_type = 'PARENT_OF'),
+    f"""WITH RECURSIVE {EDGES_SQL}, i0 AS (SELECT src, dst FROM e WHERE edge_type = 'IMPLEMENTS'), i AS (SELECT src AS child, dst AS parent FROM i0 UNION SELECT i.child, i0.dst FROM i JOIN i0 ON i0.src = i.parent), c AS (SELECT src AS owner, dst AS method FROM e WHERE edge_type = 'PARENT_OF'),
 m AS (SELECT c.owner, c.method, n.node_name FROM c JOIN n ON n.id = c.method), k AS (SELECT src, dst FROM e WHERE edge_type = 'CALLS')
 SELECT DISTINCT k.src, o.method AS dst FROM k JOIN m b ON b.method = k.dst JOIN i ON i.parent = b.owner JOIN m o ON o.owner = i.child AND o.node_name = b.node_name"""
 )

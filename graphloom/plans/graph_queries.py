@@ -11,6 +11,8 @@ from graphloom.plans.catalog import EDGES_SQL, NODES_SQL, Catalog
 from graphloom.sources.graph_tables import code_edges, code_nodes
 
 catalog = Catalog()
+_ASKED_NAMES = ("index", "layer", "no such name", "queue", "graph", "index")
+_ASKED_SQL = ", ".join(f"({k}, '{n}')" for k, n in enumerate(_ASKED_NAMES))
 FUNCTIONS = ("function_definition", "method_declaration", "method_definition")
 _FN = "('function_definition','method_declaration','method_definition')"
 
@@ -33,15 +35,14 @@ def query_edges(spark, sf_dir):
 
 
 @catalog.query(
-    f"""WITH {NODES_SQL}, want AS (SELECT id, row_number() OVER (ORDER BY id DESC) - 1 AS pos FROM n WHERE node_type = 'module')
-SELECT w.pos, n.id, n.node_name FROM want w JOIN n ON n.id = w.id"""
+    f"""WITH {NODES_SQL}, want(pos, name) AS (VALUES {_ASKED_SQL}) SELECT w.pos, min(n.id) AS id, w.name AS node_name FROM want w JOIN n ON n.node_name = w.name GROUP BY 1, 3"""
 )
 def nodes_by_ids(spark, sf_dir):
-    """Lookup of a list of ids that keeps the order of the request and drops missing ones."""
+    """Lookup of a list of names, each by its first node; keeps the place in the request and drops missing ones."""
     nodes = code_nodes(spark, sf_dir, "node_type", "node_name")
-    want = nodes.where("node_type = 'module'").agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids"))
-    asked = want.select(F.posexplode("ids").alias("pos", "id"))
-    return asked.join(nodes.select("id", "node_name"), "id").select("pos", "id", "node_name")
+    asked = spark.createDataFrame(list(enumerate(_ASKED_NAMES)), "pos int, node_name string")
+    first = nodes.where("node_name is not null").join(asked, "node_name").groupBy("pos").agg(F.min(F.struct("id", "node_name")).alias("b"))
+    return first.select("pos", "b.id", "b.node_name")
 
 
 @catalog.query(
@@ -213,8 +214,12 @@ def similar_code(spark, sf_dir):
         + F.when(same("signature"), 0.2).otherwise(0.0)
         + F.lit(0.2)
     )
-    pairs = a.join(b, "file_path").where("id_a < id_b").withColumn("score", F.round(score, 6))
-    return pairs.where("score >= 0.5").select("id_a", "id_b", "score")
+    # without equal names, only equal layers and signatures together reach the half, so nothing is compared that shares neither
+    named = a.join(b, (a.file_path == b.file_path) & (F.col("node_name_a") == F.col("node_name_b")))
+    alike = [F.coalesce(F.col(f"{c}_a"), F.lit("")) == F.coalesce(F.col(f"{c}_b"), F.lit("")) for c in ("layer", "signature")]
+    shaped = a.join(b, (a.file_path == b.file_path) & alike[0] & alike[1]).where("not node_name_a <=> node_name_b")
+    pairs = named.drop(b.file_path).unionByName(shaped.drop(b.file_path)).where("id_a < id_b")
+    return pairs.withColumn("score", F.round(score, 6)).where("score >= 0.5").select("id_a", "id_b", "score")
 
 
 @catalog.query(
@@ -240,7 +245,9 @@ def resolve_inheritance(spark, sf_dir):
 
 @catalog.query(
     f"""WITH {NODES_SQL}, c AS (SELECT DISTINCT callee FROM edges WHERE callee IS NOT NULL), t AS (SELECT id, node_name FROM n WHERE node_type IN {_FN}),
-k AS (SELECT c.callee, t.id, count(*) OVER (PARTITION BY c.callee) AS n FROM c JOIN t ON t.node_name = c.callee) SELECT callee, id FROM k WHERE n <= 32"""
+k AS (SELECT c.callee, t.id, count(*) OVER (PARTITION BY c.callee) AS n FROM c JOIN t ON t.node_name = c.callee), p AS (SELECT DISTINCT x.callee, s.file_path FROM edges x JOIN n s ON s.id = x.src WHERE x.callee IS NOT NULL),
+f AS (SELECT k.callee, k.id, t.file_path, count(*) OVER (PARTITION BY k.callee, t.file_path) AS here FROM k JOIN n t ON t.id = k.id WHERE k.n > 32)
+SELECT callee, id FROM k WHERE n <= 32 UNION ALL SELECT f.callee, f.id FROM f JOIN p ON p.callee = f.callee AND p.file_path = f.file_path WHERE here <= 32"""
 )
 def resolve_calls_by_name(spark, sf_dir):
     """A callee's name resolves to all definitions of the name if there are at most 32, else to those in a caller's file if they are at most 32."""
@@ -510,7 +517,14 @@ def spanning_tree(spark, sf_dir):
     return traversal.reach(code_edges(spark, sf_dir, "CALLS"), _sources(spark, sf_dir), 3)
 
 
-@catalog.query()
+@catalog.query(
+    f"WITH {EDGES_SQL}, g AS (SELECT src, dst FROM e WHERE edge_type IN ('CALLS', 'DEPENDS_ON') AND src <> dst), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), l0 AS (SELECT DISTINCT src AS id, src AS community FROM b)"
+    + "".join(
+        f", v{k} AS (SELECT b.src, community, count(*) AS n FROM b JOIN l{k} ON l{k}.id = b.dst GROUP BY 1, 2), l{k + 1} AS (SELECT src AS id, community FROM v{k} QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, community) = 1)"
+        for k in range(5)
+    )
+    + " SELECT id, community FROM l5"
+)
 def communities(spark, sf_dir):
     """Deterministic label propagation over calls and dependencies."""
     return traversal.label_propagation(code_edges(spark, sf_dir, "CALLS", "DEPENDS_ON"))

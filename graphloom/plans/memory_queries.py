@@ -8,6 +8,7 @@ from graphloom.functions import text as T
 from graphloom.operators import chunking, evaluation, memory
 from graphloom.operators import retrieval as R
 from graphloom.plans.catalog import MEMORY_SQL, Catalog
+from graphloom.plans.retrieval_queries import BM25_SQL
 from graphloom.sources.graph_tables import code_nodes, memory_edges, memory_nodes
 from graphloom.session import table
 
@@ -176,7 +177,10 @@ def anchor_counts(spark, sf_dir):
     return rows.select("doc_id", F.size(T.latin_words(F.col("text"))).alias("n_latin"), snake.alias("n_snake"))
 
 
-@catalog.query()
+@catalog.query(
+    r"""SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?\s?(?:%|percent|ms|seconds|days|megabytes))', 1), regexp_extract_all(text, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1)),
+list_concat(regexp_extract_all(text, '\b([a-z]+(?:_[a-z]+)+)\b', 1), regexp_extract_all(text, '\b([A-Z]{2,})\b', 1))))) AS anchor FROM documents WHERE text IS NOT NULL"""
+)
 def text_anchors(spark, sf_dir):
     return _texts(spark, sf_dir).where("text is not null").select("doc_id", F.explode(T.anchors(F.col("text"))).alias("anchor"))
 
@@ -211,13 +215,28 @@ def semantic_dedup(spark, sf_dir):
     return memory.greedy_clusters(rows, "label")
 
 
-@catalog.query()
+_GRAMS = "list_distinct(list_transform(range(greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i + 1:i + 5], ' ')))"
+_TOKEN_LIST = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]+)', 1)"
+
+
+@catalog.query(
+    f"""WITH d AS (SELECT doc_id, {_TOKEN_LIST.format('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, item_kind, {_TOKEN_LIST.format('item_text')} AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d), ig AS (SELECT item_id, item_kind, len({_GRAMS}) AS n, unnest({_GRAMS}) AS g FROM i),
+x AS (SELECT item_id, item_kind, doc_id FROM ig JOIN dg USING (g) GROUP BY item_id, item_kind, n, doc_id HAVING count(*) >= 0.5 * n), {BM25_SQL},
+b AS (SELECT x.item_id, item_kind, min(r.rank) AS best FROM x LEFT JOIN ranked r ON r.query_id = x.item_id AND r.doc_id = x.doc_id AND r.rank <= 3 GROUP BY 1, 2)
+SELECT item_kind AS type, count(*) AS n, round(avg((coalesce(best, 99) <= 1)::INT), 6) AS recall_at_1, round(avg((coalesce(best, 99) <= 2)::INT), 6) AS recall_at_2, round(avg((coalesce(best, 99) <= 3)::INT), 6) AS recall_at_3 FROM b GROUP BY ROLLUP (item_kind)"""
+)
 def retrieval_recall(spark, sf_dir):
-    """How often lexical search finds the document that shares most words with a test item, by kind of item and overall."""
+    """How often lexical search finds a document that holds a test item: half of the item's runs of five words, by kind and overall."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.col("item_text").alias("text"), F.col("item_kind").alias("type"))
-    best = R.top_k(R.jaccard(documents, items), ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 1)
-    expected = items.select("query_id", "type").join(best.select("query_id", F.col("doc_id").alias("id")), "query_id")
+    words = T.tokens(F.col("text"))
+    runs = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda k: F.array_join(F.slice("w", k, 5), " ")))
+    held = documents.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("g"))
+    asked = items.select("query_id", "type", words.alias("w")).select("query_id", "type", F.array_distinct(runs).alias("all"))
+    asked = asked.select("query_id", "type", F.size("all").alias("n"), F.explode("all").alias("g"))
+    shared = asked.join(held, "g").groupBy("query_id", "type", "n", "doc_id").agg(F.count("*").alias("k")).where("k >= 0.5 * n")
+    expected = shared.select("query_id", "type", F.col("doc_id").alias("id"))
     found = R.top_k(R.bm25(documents, items), ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 3)
     return evaluation.recall_at(found.select("query_id", F.col("doc_id").alias("id"), "rank"), expected)
 

@@ -26,13 +26,14 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
 
 
-_BM25 = f"""WITH {_WORDS}, t AS (SELECT count(*) AS n_docs, avg(n) AS mean FROM full_docs),
+BM25_SQL = f"""{_WORDS}, t AS (SELECT count(*) AS n_docs, avg(n) AS mean FROM full_docs),
 post AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(words) AS term FROM full_docs) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 qt AS (SELECT query_id, unnest(words) AS term FROM asked),
 s AS (SELECT query_id, doc_id, sum(greatest(1e-5, ln((n_docs - df + 0.5) / (df + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score
 FROM qt JOIN df USING (term) JOIN post USING (term) CROSS JOIN t GROUP BY 1, 2 HAVING score > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
+_BM25 = f"WITH {BM25_SQL}"
 
 
 def _bm25_ranked(spark, sf_dir, k):

@@ -14,6 +14,9 @@ from graphloom.sources.relational import STAR
 from graphloom.session import table
 
 catalog = Catalog()
+_SCHEMA_SQL = ", ".join(
+    f"('{t.name}', '{c}', {str(c == t.key).lower()}, {'NULL' if r is None else chr(39) + r + chr(39)})" for t in STAR for c, r in {t.key: None, **dict(t.foreign)}.items()
+)
 _KEYS = [(t.name, t.key) for t in STAR]
 
 
@@ -52,7 +55,11 @@ def column_value_edges(spark, sf_dir):
     return relational.value_edges(table(spark, sf_dir, "customer"), customer, ["c_mktsegment", "c_name"])
 
 
-@catalog.query()
+@catalog.query(
+    f"""WITH k(table_name, column_name, is_key, refers) AS (VALUES {_SCHEMA_SQL})
+SELECT c.table_name, c.column_name, CASE c.data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(c.data_type) END AS type, coalesce(is_key, false) AS is_key, refers AS "references"
+FROM information_schema.columns c LEFT JOIN k ON k.table_name = c.table_name AND k.column_name = c.column_name WHERE c.table_name IN ({', '.join(f"'{t.name}'" for t in STAR)})"""
+)
 def schema_nodes(spark, sf_dir):
     """The columns of every table with key and reference, as rows."""
     rows = relational.schema_rows({t.name: table(spark, sf_dir, t.name) for t in STAR})
@@ -94,7 +101,7 @@ def content_identity(spark, sf_dir):
 
 
 @catalog.query(
-    """WITH u AS (SELECT DISTINCT regexp_extract(code, 'https?://[^\\s"''<>]+') AS url FROM source_files WHERE code LIKE '%http%'), h AS (SELECT url, regexp_extract(url, 'https?://(?:[^/@]*@)?([^/:?#]+)', 1) AS host FROM u WHERE url <> '')
+    """WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(code, 'https?://[^\\s"''<>]+')) AS url FROM source_files WHERE code LIKE '%http%'), h AS (SELECT url, regexp_extract(url, 'https?://(?:[^/@]*@)?([^/:?#]+)', 1) AS host FROM u WHERE url <> '')
 SELECT host, count(*) AS n_urls FROM h GROUP BY host"""
 )
 def url_hosts(spark, sf_dir):
@@ -112,7 +119,10 @@ def triplet_page(spark, sf_dir):
     return rows.orderBy("src", "relationship_name", "dst").offset(50).limit(25)
 
 
-@catalog.query()
+@catalog.query(
+    """WITH t AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(replace(replace(lower('Episode:' || title), ' ', '_'), chr(39), ''))) AS h FROM documents WHERE title IS NOT NULL)
+SELECT doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', (('0x' || h[17:17])::INT & 3) + 1, 1) || h[18:20], h[21:32]) AS episode_id FROM t"""
+)
 def deterministic_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("title is not null").select("doc_id", memory_id(F.concat(F.lit("Episode:"), "title")).alias("episode_id"))
 
