@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 _DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.BoolOp, ast.IfExp)
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+NODE_NAMES = ["file_path", "id", "node_type", "node_name", "line_start", "line_end", "complexity"]
+NODE_SCHEMA = "file_path string, id string, node_type string, node_name string, line_start int, line_end int, complexity int"
+EDGE_NAMES = ["file_path", "src", "dst", "edge_type", "detail"]
+EDGE_SCHEMA = "file_path string, src string, dst string, edge_type string, detail string"
 
 
 def node_id(path: str, kind: str, name: str, line: int, column: int) -> str:
@@ -218,14 +222,8 @@ def python_graph(files: DataFrame, *, path_col: str = "file_path", code_col: str
         return go
 
     s, i = pa.string(), pa.int32()
-    nodes = rows.mapInArrow(
-        run(0, ["file_path", "id", "node_type", "node_name", "line_start", "line_end", "complexity"], [s, s, s, s, i, i, i]),
-        "file_path string, id string, node_type string, node_name string, line_start int, line_end int, complexity int",
-    )
-    edges = rows.mapInArrow(
-        run(1, ["file_path", "src", "dst", "edge_type", "detail"], [s] * 5),
-        "file_path string, src string, dst string, edge_type string, detail string",
-    )
+    nodes = rows.mapInArrow(run(0, NODE_NAMES, [s, s, s, s, i, i, i]), NODE_SCHEMA)
+    edges = rows.mapInArrow(run(1, EDGE_NAMES, [s] * 5), EDGE_SCHEMA)
     return nodes, edges
 
 

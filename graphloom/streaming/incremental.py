@@ -1,8 +1,10 @@
 """Incremental and stateful processing with Structured Streaming.
 
-Streams run with ``availableNow``: everything there is, in micro-batches, with
-offsets and state in the shared checkpoint folder, so a run that is interrupted
-goes on where it stopped.
+Streams run with ``availableNow``: everything there is, in micro-batches. Offsets,
+state and results lie in one folder, which the caller names; a run that is
+interrupted goes on there where it stopped, and one that is started again reads
+only what is new. Without a name a run has a new folder in the shared checkpoint
+folder.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphloom.session import ensure_checkpoint_dir
 
@@ -39,28 +42,60 @@ def run_batches(stream: DataFrame, folder: str, each: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """The last row of each key after all batches; each batch is merged into a new version of the table."""
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The finished versions of a table of versions, in order."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n.partition("=")[2]) for n in found if n.startswith("version=") and fs.exists(jvm.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, folder: str, schema: StructType, below: int | None = None) -> DataFrame | None:
+    """The rows of the newest finished version of each bucket, with the bucket."""
+    done = [v for v in versions(spark, folder) if below is None or v < below]
+    if not done:
+        return None
+    full = StructType([*schema.fields, StructField("version", IntegerType()), StructField("bucket", IntegerType())])
+    rows = spark.read.schema(full).option("basePath", folder).parquet(*(f"{folder}/version={v}" for v in done))
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version")
+
+
+def upsert_stream(stream: DataFrame, key: str, order: list[str], name: str, *, folder: str | None = None, buckets: int = 64) -> DataFrame:
+    """The last row of each key after all batches.
+
+    Rows lie in buckets by key. A batch writes a new version of the buckets that it
+    touches and leaves the others; a batch that is repeated after a failure replaces
+    its own version. Of the driver's memory only the numbers of buckets are used.
+    """
     spark = stream.sparkSession
-    folder = workspace(spark, name)
-    version = {"path": None}
+    folder = folder or workspace(spark, name)
+    data = f"{folder}/data"
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if version["path"] is None else batch.unionByName(spark.read.parquet(version["path"]))
+        rows = batch.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        old = current(spark, data, stream.schema, below=number)
+        if old is not None:
+            rows = rows.unionByName(old.where(F.col("bucket").isin(touched)))
         w = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in order))
-        rows = rows.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-        path = f"{folder}/version-{number}"
-        rows.write.mode("overwrite").parquet(path)
-        version["path"] = path
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{data}/version={number}")
 
     run_batches(stream, folder, merge)
-    return spark.read.parquet(version["path"]) if version["path"] else spark.createDataFrame([], stream.schema)
+    out = current(spark, data, stream.schema)
+    return spark.createDataFrame([], stream.schema) if out is None else out.drop("bucket")
 
 
-def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: list[str], name: str) -> DataFrame:
+def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: list[str], name: str, folder: str | None = None) -> DataFrame:
     """Counts by tumbling window; rows later than ``late`` behind the watermark are dropped by the stream."""
     spark = stream.sparkSession
-    folder = workspace(spark, name)
+    folder = folder or workspace(spark, name)
     stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need an instant
     counts = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"))
 
@@ -71,10 +106,10 @@ def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: l
     return spark.read.parquet(f"{folder}/result")
 
 
-def last_n(stream: DataFrame, key: str, value: str, order: str, n: int, name: str) -> DataFrame:
+def last_n(stream: DataFrame, key: str, value: str, order: str, n: int, name: str, folder: str | None = None) -> DataFrame:
     """(key, value, order) of the last n rows of each key, kept as state from batch to batch."""
     spark = stream.sparkSession
-    folder = workspace(spark, name)
+    folder = folder or workspace(spark, name)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out = f"`{key}` {kinds[key]}, `{value}` {kinds[value]}, at long, version long"
 

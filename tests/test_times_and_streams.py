@@ -1,5 +1,6 @@
 from datetime import UTC, datetime
 
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,18 @@ def test_change_sets(spark, rows):
     fresh = spark.createDataFrame([("9", "a"), ("8", "b")], "id string, file_path string")
     assert rows(incremental.apply_changes(nodes, changes, fresh), "id", "file_path") == [("3", "c"), ("9", "a")]
     assert rows(incremental.skip_done(nodes, spark.createDataFrame([("1",)], "id string"), "id"), "id") == [("2",), ("3",)]
+
+
+def test_an_upsert_goes_on_where_it_stopped(spark, rows, source, tmp_path):
+    folder, schema = str(tmp_path / "run"), "event_id long, user string, value long, ts timestamp_ntz"
+    assert rows(incremental.upsert_stream(stream(spark, source), "user", ["ts", "event_id"], "t", folder=folder, buckets=4), "user", "event_id") == [("a", 4), ("b", 3)]
+    before = incremental.versions(spark, f"{folder}/data")
+    more = spark.createDataFrame([(9, "b", 9, "2024-02-01 00:00:00"), (8, "c", 8, "2024-02-01 00:00:00")], "event_id long, user string, value long, ts string")
+    more.withColumn("ts", more.ts.cast("timestamp_ntz")).coalesce(1).write.parquet(f"{source}/events.parquet/9")
+    assert rows(incremental.upsert_stream(stream(spark, source), "user", ["ts", "event_id"], "t", folder=folder, buckets=4), "user", "event_id") == [("a", 4), ("b", 9), ("c", 8)]
+    after = incremental.versions(spark, f"{folder}/data")
+    assert after[: len(before)] == before and len(after) == len(before) + 1
+    # a version that wasn't finished doesn't count
+    os.makedirs(f"{folder}/data/version=99/bucket=0")
+    assert incremental.versions(spark, f"{folder}/data") == after
+    assert incremental.current(spark, f"{folder}/data", spark.createDataFrame([], schema).schema, below=0) is None
