@@ -99,7 +99,7 @@ def batched(rows: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schem
 def deferred_edges(pending: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges that can be written, edges that still wait): an edge waits until both of its ends are nodes."""
     ids = nodes.select("id").distinct()
-    ready = pending.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ready = pending.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*pending.columns)
     known = ids.withColumn("known", F.lit(True))
     marked = pending.join(known.select(F.col("id").alias("src"), F.col("known").alias("a")), "src", "left").join(known.select(F.col("id").alias("dst"), F.col("known").alias("b")), "dst", "left")
     return ready, marked.where("a is null or b is null").select(*pending.columns)

@@ -202,6 +202,16 @@ def row_chunks(spark, sf_dir):
     return chunking.chunk(rows, id_col="doc_id", text_col="text", max_words=40, rows=True)
 
 
+@catalog.query()
+def text_sentences(spark, sf_dir):
+    return chunking.sentence_rows(_texts(spark, sf_dir), id_col="doc_id", text_col="text")
+
+
+@catalog.query()
+def code_chunks(spark, sf_dir):
+    return chunking.code_chunk_rows(table(spark, sf_dir, "source_files"))
+
+
 @catalog.query("SELECT doc_id AS document_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0b\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS token_count FROM documents WHERE trim(text) <> '' AND len(regexp_extract_all(text, '\\S+')) > 0")
 def token_counts(spark, sf_dir):
     """The sizes of a document's chunks, added up: every word is in exactly one chunk."""
