@@ -127,8 +127,8 @@ def merge_descriptions(rows: DataFrame, key: str, order: list[str], most: int =
 
     Descriptions are the same if they are equal but for case and marks.
     """
-    own = rows.where("trim(description) <> ''").withColumn("k", T.normalize_for_id(F.col("description")))
-    first = own.groupBy(key, "k").agg(F.min(F.struct(*order, "description")).alias("f"))
+    own = rows.where("trim(description) <> ''").withColumn("_same", T.normalize_for_id(F.col("description")))
+    first = own.groupBy(key, "_same").agg(F.min(F.struct(*order, "description")).alias("f"))
     w = Window.partitionBy(key).orderBy(*[f"f.{c}" for c in order], "f.description")
     kept = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "f.description"))), lambda x: x.description)
@@ -155,8 +155,8 @@ def step_points(rows: DataFrame, key: str, text: str) -> DataFrame:
     at = F.last(F.when(F.col("given").isNotNull(), F.col("n")), ignorenulls=True).over(run)
     lines = lines.withColumn("step_no", F.coalesce(F.col("last") + F.col("n") - at, F.col("n")))
     point = F.regexp_replace("line", r"^[0-9]{1,4}[.)、] *|^[-*•] +", "")
-    lines = lines.withColumn("point", point).withColumn("k", T.normalize_for_id(F.col("point"))).where("k <> ''")
-    best = lines.groupBy(key, "k").agg(F.min(F.struct("step_no", "pos", "point")).alias("b"))
+    lines = lines.withColumn("point", point).withColumn("_same", T.normalize_for_id(F.col("point"))).where("_same <> ''")
+    best = lines.groupBy(key, "_same").agg(F.min(F.struct("step_no", "pos", "point")).alias("b"))
     return best.select(key, "b.step_no", "b.point")
 
 
@@ -165,9 +165,9 @@ def context_points(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFra
     listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("kind"), F.col(c).alias("text")) for k, (name, c) in enumerate(fields.items())])
     each = rows.select(key, F.explode(listed).alias("f")).where("trim(f.text) <> ''")
     cut = F.regexp_replace("f.text", r"([.!?。！？]) +", "$1\n")
-    parts = each.select(key, "f.k", "f.kind", F.posexplode(F.split(cut, "[\n；;]")).alias("pos", "point"))
+    parts = each.select(key, F.col("f.k").alias("_field"), "f.kind", F.posexplode(F.split(cut, "[\n；;]")).alias("pos", "point"))
     parts = parts.withColumn("point", F.trim("point")).withColumn("_same", T.normalize_for_id(F.col("point"))).where("_same <> ''")
-    first = parts.groupBy(key, "_same").agg(F.min(F.struct("k", "pos", "kind", "point")).alias("b"))
+    first = parts.groupBy(key, "_same").agg(F.min(F.struct("_field", "pos", "kind", "point")).alias("b"))
     return first.select(key, "b.kind", "b.pos", "b.point")
 
 

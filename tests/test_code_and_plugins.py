@@ -89,7 +89,7 @@ def test_code_rules(spark):
     assert one(codeflow.layer(F.col("p")), p="src/UserService/x.py") == "service" and one(codeflow.layer(F.col("p")), p="x") == "other"
     assert tuple(one(codeflow.route(F.col("a")), a='@GetMapping("/a/{id}")')) == ("GET", "/a/{id}") and one(codeflow.route(F.col("a")), a="@Override") is None
     assert one(codeflow.simple_type(F.col("t")), t="java.util.Map<String, List<int[]>>[]") == "Map"
-    assert one(codeflow.compress(F.col("c"), 40), c='def f():\n    """doc"""\n    # note\n    x = 1\n\n\n    return x\n') == "def f():\n    x = 1\n    return x"
+    assert one(codeflow.compress(F.col("c"), 40), c='def f():\n    """doc"""\n    # note\n    x = 1\n\n\n    return x\n') == "def f():\n    x = 1\n    return x\n"
 
 
 def test_pipeline(spark, rows):
