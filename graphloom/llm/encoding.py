@@ -32,7 +32,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PART_CHARS = 100_000
 
-_SAFE = re.compile(r"(?<=\S)\s|(?<=[A-Za-z])[0-9]")
+# before white space, between a Latin letter and a digit, between a letter and a mark other than an apostrophe
+_SAFE = re.compile(r"(?<=\S)\s|(?<=[A-Za-z])[0-9]|(?<=[^\W\d_])[^\w\s']")
 
 
 @lru_cache(maxsize=4)

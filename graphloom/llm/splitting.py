@@ -1,7 +1,7 @@
 """Cutting oversized texts at natural boundaries by structure-tree packing.
 
-A text longer than its limit is read as a tree: for documents pages, headings,
-paragraphs, list items, sentences and words; for code blocks by indentation,
+A text longer than its limit is read as a tree: for documents pages, headings (marked
+by # or underlined), blocks of markup, paragraphs, list items, sentences and words; for code blocks by indentation,
 then statements within a line. Starting at the leaves, neighbouring subtrees are
 merged as long as they fit; only a subtree that is larger than the limit is
 opened. A run of characters without any boundary is cut hard as a last resort.
@@ -20,6 +20,7 @@ Defined results for odd input
 * An overlap as large as the limit is lowered to the limit less one.
 * A limit that is null or below one cuts nothing. Of several limits of one kind
   the smallest counts, then the largest overlap.
+* There may be limits for ``MOST_KINDS`` kinds; more are an error.
 * Rows that are repeated give repeated pieces; callers that know the key of a
   record take distinct rows.
 * Other columns of the input are dropped, whatever their names.
@@ -35,9 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Span = tuple[int, int]
+MOST_KINDS = 10_000
 
 _PAGE = re.compile(r"\f")
 _HEADING = re.compile(r"^(#{1,6})[ \t]+\S", re.M)
+_UNDERLINED = re.compile(r"^[^\s#>|+*-][^\n]*\n(={3,}|-{3,})[ \t]*\r?$", re.M)
+_TAGGED = re.compile(r"<(?:h[1-6]|section|article|div|p|ul|ol|li|table|tr|pre|blockquote)\b[^<>]*>", re.I)
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 _ITEM = re.compile(r"\n(?=[ \t]*(?:[-*•+]|\d{1,4}[.)])[ \t]+\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？；])")
@@ -54,14 +58,26 @@ def _ends(pattern: re.Pattern) -> Callable[[str, int, int], list[int]]:
 
 
 def _heading_cuts(level: int) -> Callable[[str, int, int], list[int]]:
-    return lambda text, start, end: [
-        m.start() for m in _HEADING.finditer(text, start, end) if len(m.group(1)) == level and m.start() > start
-    ]
+    mark = "=-"[level - 1 : level]
+
+    def cuts(text: str, start: int, end: int) -> list[int]:
+        found = {m.start() for m in _HEADING.finditer(text, start, end) if len(m.group(1)) == level and m.start() > start}
+        if mark and mark * 3 in text:
+            found |= {m.start() for m in _UNDERLINED.finditer(text, start, end) if m.group(1)[0] == mark and m.start() > start}
+        return sorted(found)
+
+    return cuts
+
+
+def _tag_cuts(text: str, start: int, end: int) -> list[int]:
+    """Cuts before tags that open a block."""
+    return [m.start() for m in _TAGGED.finditer(text, start, end) if m.start() > start]
 
 
 DOCUMENT_CUTS = [
     _ends(_PAGE),
     *(_heading_cuts(level) for level in range(1, 7)),
+    _tag_cuts,
     _ends(_PARAGRAPH),
     _ends(_ITEM),
     _ends(_SENTENCE),
@@ -187,8 +203,8 @@ def split_items(
 ) -> DataFrame:
     """(item_kind, item_id, piece_no, start, own_start, end[, piece]) of every item over its limit.
 
-    ``limits`` has item_kind, max_chars and overlap_chars: one row for each kind,
-    so it is a few rows at any scale of the items and is broadcast.
+    ``limits`` has item_kind, max_chars and overlap_chars: one row for each kind. They
+    become literals of the plan, so nothing is joined; their number is checked.
     """
     bounds = (
         limits.where("item_kind is not null and max_chars >= 1")
@@ -196,10 +212,16 @@ def split_items(
         .agg(F.min(F.struct("max_chars", -F.coalesce("overlap_chars", F.lit(0)))).alias("b"))
         .select("lim_kind", F.col("b.max_chars").alias("lim_max"), (-F.col("b.col2")).alias("lim_overlap"))
     )
+    known = bounds.limit(MOST_KINDS + 1).collect()
+    if len(known) > MOST_KINDS:
+        raise ValueError(f"limits of more than {MOST_KINDS} kinds")
     given = items.select(kind.alias("item_kind"), item_id.cast("long").alias("item_id"), text.alias("text"))
-    over = given.join(F.broadcast(bounds), F.col("item_kind") == F.col("lim_kind")).where(
-        F.char_length("text") > F.col("lim_max")
-    )
+    limit = F.map_from_arrays(F.array(*[F.lit(b["lim_kind"]) for b in known]), F.array(*[F.lit(b["lim_max"]) for b in known])) if known else None
+    extra = F.map_from_arrays(F.array(*[F.lit(b["lim_kind"]) for b in known]), F.array(*[F.lit(b["lim_overlap"]) for b in known])) if known else None
+    none = F.lit(None).cast("int")
+    over = given.withColumns(
+        {"lim_max": F.try_element_at(limit, F.col("item_kind")) if known else none, "lim_overlap": F.try_element_at(extra, F.col("item_kind")) if known else none}
+    ).where(F.char_length("text") > F.col("lim_max"))
     schema = "item_kind string, item_id long, piece_no int, start int, own_start int, end int"
     if with_text:
         schema += ", piece string"

@@ -26,10 +26,11 @@ def p1_found(spark, sf_dir):
 
 
 def p1_pieces(spark, sf_dir):
+    """The pieces of each item that p1_found names; of differing rows of a file the longest is cut."""
     last = (
         table(spark, sf_dir, "source_files")
         .groupBy("file_id")
-        .agg(F.max(F.struct("loaded_at", "code")).alias("last"))
+        .agg(F.max(F.struct(F.char_length("code").alias("n"), "loaded_at", "code")).alias("last"))
         .select("file_id", "last.code")
     )
     return _pieces(spark, sf_dir, last, with_text=True).distinct()

@@ -15,6 +15,24 @@ def test_parts_give_the_ids_of_the_whole():
     assert E.encode("a" * 3000, enc, 100) == enc.encode_ordinary("a" * 3000)
 
 
+def test_long_texts_without_spaces():
+    enc = E.encoder()
+    text = "系统会先读取数据，再根据调用关系更新它的权重。是café、naïve…吗？" * 6000
+    got = list(E.parts(text))
+    assert len(got) > 1 and "".join(got) == text and E.encode(text, enc) == enc.encode_ordinary(text)
+
+
+def test_part_size_makes_no_difference_on_a_table():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are missing")
+    enc = E.encoder()
+    for row in pq.read_table(path, columns=["text"]).to_pylist():
+        assert E.encode(row["text"], enc, 40) == E.encode(row["text"], enc)
+
+
 def test_tables(spark, rows):
     df = spark.createDataFrame([(1, "hello world", 0), (2, "", 0), (3, None, 0), (1, "hello world", 0), (None, "x", 0)], "doc_id long, text string, ids int")
     out = E.encode_texts(df, id_col="doc_id", text_col="text")

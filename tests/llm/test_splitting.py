@@ -26,6 +26,13 @@ def test_natural_boundaries():
     assert [text[o:e] for _, o, e in S.pieces(text, "pdf", 30, 0)] == ["# One\n\nFirst part. More.\n\n", "# Two\n\nSecond part."]
 
 
+def test_headings_and_markup():
+    text = "One\n===\n\nFirst part here.\n\nTwo\n---\n\nSecond part.\n"
+    assert [text[o:e] for _, o, e in S.pieces(text, "pdf", 30, 0)] == ["One\n===\n\nFirst part here.\n\n", "Two\n---\n\nSecond part.\n"]
+    text = "<div>first <b>part</b></div><div>second part</div><p>x</p>"
+    assert [text[o:e] for _, o, e in S.pieces(text, "pdf", 36, 0)] == ["<div>first <b>part</b></div>", "<div>second part</div><p>x</p>"]
+
+
 def test_table_cases(spark, rows):
     limits = spark.createDataFrame([("code", 10, 2), ("code", 20, 3), ("pdf", None, 1), (None, 5, 1)], "item_kind string, max_chars int, overlap_chars int")
     items = spark.createDataFrame([(1, "x" * 25, 9), (2, "short", 9), (3, None, 9), (4, "", 9), (1, "x" * 25, 9)], "id long, body string, item_kind int")
