@@ -90,6 +90,13 @@ def read_query(spark: SparkSession, sql: str, limit: int = 100, **parameters) ->
     return spark.sql(sql, args=parameters or None).limit(limit)
 
 
+def query_recall(spark: SparkSession, sql: str, enabled: bool = True, limit: int = 100) -> DataFrame:
+    """The recall mode whose question is a query itself; it can be switched off, and it only reads."""
+    if not enabled:
+        raise PermissionError("recall by query is switched off")
+    return read_query(spark, sql, limit)
+
+
 def timeboxed(spark: SparkSession, run: Callable[[], object], seconds: float) -> object:
     """The result of ``run``; its jobs are cancelled after the given time."""
     import threading

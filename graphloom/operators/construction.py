@@ -258,3 +258,39 @@ def snippet(text: Column, token: Column, width: int = 80) -> Column:
     raw = F.substring(text, begin, F.lit(width) + F.char_length(token))
     started = F.when(begin > 1, F.regexp_replace(raw, r"^[^\s,;.，；。]{0,20}[\s,;.，；。]+", "")).otherwise(raw)
     return F.when(at > 0, F.trim(F.regexp_replace(F.regexp_extract(started, "^([^.!?。！？]*[.!?。！？]?)", 1), r"\s+", " ")))
+
+
+def write_episodes(documents: DataFrame, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of documents (doc_id, title, text): an episode each, a facet per section, its points, and the chunk.
+
+    ``entities`` (doc_id, name) are those that a model found. Nodes have id, node_type,
+    node_name and search_text; ids follow from names, so a second write gives the same.
+    """
+    def memory_id(*parts: Column) -> Column:
+        return uuid5(F.concat_ws(":", *parts))
+
+    doc = F.col("doc_id").cast("string")
+    docs = documents.where("doc_id is not null and trim(text) <> ''").select("doc_id", "title", "text", memory_id(F.lit("Episode"), doc).alias("episode"))
+    parts = sections(docs).withColumn("heading", F.coalesce("heading", "title", F.lit("text")))
+    facets = facets_from_sections(parts, "doc_id").join(docs.select("doc_id", "episode"), "doc_id")
+    first = context_points(facets.select("facet_id", "body"), "facet_id", {"point": "body"})
+    points = first.withColumn("point_id", memory_id(F.lit("Point"), F.col("facet_id"), T.normalize_for_id(F.col("point"))))
+
+    def node(rows: DataFrame, i: str, kind: str, name: Column, text: Column) -> DataFrame:
+        return rows.select(F.col(i).alias("id"), F.lit(kind).alias("node_type"), name.alias("node_name"), text.alias("search_text"))
+
+    def edge(rows: DataFrame, a: str, b: str, kind: str, text: Column) -> DataFrame:
+        return rows.select(F.col(a).alias("src"), F.col(b).cast("string").alias("dst"), F.lit(kind).alias("relationship_name"), text.alias("edge_text"))
+
+    none = F.lit(None).cast("string")
+    nodes = node(docs, "episode", "Episode", F.col("title"), none)
+    nodes = nodes.unionByName(node(facets, "facet_id", "Facet", F.col("heading"), F.col("heading")))
+    nodes = nodes.unionByName(node(points, "point_id", "FacetPoint", F.substring("point", 1, 50), F.col("point")))
+    edges = edge(docs, "episode", "doc_id", "includes_chunk", F.lit("chunk#0"))
+    edges = edges.unionByName(edge(facets, "episode", "facet_id", "has_facet", F.col("heading")))
+    edges = edges.unionByName(edge(points, "facet_id", "point_id", "has_point", F.col("point")))
+    if entities is not None:
+        named = entities.where("trim(name) <> ''").join(docs.select("doc_id", "episode"), "doc_id").withColumn("entity", memory_id(F.lit("Entity"), T.normalize_for_id(F.col("name"))))
+        nodes = nodes.unionByName(node(named, "entity", "Entity", F.col("name"), F.col("name")))
+        edges = edges.unionByName(edge(named, "episode", "entity", "involves_entity", F.col("name")))
+    return nodes.dropDuplicates(["id"]), edges.distinct()

@@ -47,16 +47,17 @@ def parent_links(
     return links.distinct()
 
 
-def cycles(links: DataFrame) -> DataFrame:
+def cycles(links: DataFrame, *, written: bool = False) -> DataFrame:
     """(node_id, cycle_id) of every node on or below a cycle of ``links``.
 
-    ``links`` is a table (child, parent) as ``parent_links`` returns it. After
+    ``links`` is a table (child, parent) as ``parent_links`` returns it, ``written`` if
+    it needs no computing again. After
     k rounds a node has pointers only if a walk of 2**k steps leads upwards from
     it. A round in which no node loses its last pointer leaves exactly the nodes
     that a cycle feeds. Only nodes that are themselves parents take part in the
     rounds; leaves follow their parents at the end.
     """
-    links = cut_lineage(links)
+    links = links if written else cut_lineage(links)
     parents = links.select(F.col("parent").alias("p")).distinct()
     inner = links.join(parents, links.child == parents.p, "left_semi")
     walks, left = cut_and_count(inner.groupBy("child").agg(F.collect_set("parent").alias("ups")))
@@ -116,13 +117,14 @@ def _cycle_names(inner: DataFrame, fed: DataFrame) -> DataFrame:
         jump = jump.drop("moved")
 
 
-def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id") -> DataFrame:
-    """(node_id, parent_id, root_id, depth, path) of every node that no cycle feeds.
+def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id", counts: bool = False) -> DataFrame:
+    """(node_id, parent_id, root_id, depth, path[, n_descendants]) of every node that no cycle feeds.
 
     ``path`` is the array of ids from the root to the node itself.
     """
     ids = nodes.select(F.col(node_id).alias("node_id")).where("node_id is not null").distinct()
-    fed = cycles(links)
+    links = cut_lineage(links)
+    fed = cycles(links, written=True)
     kept = links.join(fed, links.child == fed.node_id, "left_anti")
     parent = cut_lineage(kept.groupBy(F.col("child").alias("node_id")).agg(F.min("parent").alias("parent_id")))
     # only nodes that are parents themselves take part in the rounds; leaves follow their parents at the end
@@ -150,31 +152,28 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id") -> DataFram
         done = done.unionByName(moved.where("not open"))
         rows = moved.where("open")
     above = done.select(F.col("node_id").alias("parent_id"), F.col("up").alias("root_id"), F.concat(F.array("up"), "tail").alias("above"))
+    if counts:
+        # each descendant is the child of one node of the subtree, so the children of all its nodes are summed up
+        children = parent.groupBy("parent_id").agg(F.count("*").alias("n"))
+        each = children.join(above, "parent_id", "left").select(F.explode(F.coalesce("above", F.array("parent_id"))).alias("node_id"), "n")
+        below = cut_lineage(each.groupBy("node_id").agg(F.sum("n").alias("n_descendants")))
+        # joined before the paths are, so that the rows are narrow
+        parent = parent.join(below, "node_id", "left")
     # a parent without a row of its own is a root
-    inside = parent.join(above, "parent_id", "left").select(
-        "node_id",
-        "parent_id",
-        F.coalesce("root_id", "parent_id").alias("root_id"),
-        F.concat(F.coalesce("above", F.array("parent_id")), F.array("node_id")).alias("path"),
-    ).withColumn("depth", F.size("path") - 1)
-    roots = (
-        ids.join(links.select(F.col("child").alias("node_id")), "node_id", "left_anti")
-        .select(
-            "node_id",
-            F.lit(None).cast("string").alias("parent_id"),
-            F.col("node_id").alias("root_id"),
-            F.array("node_id").alias("path"),
-            F.lit(0).alias("depth"),
-        )
+    names = ["node_id", "parent_id", "root_id", "depth", "path", *(["n_descendants"] if counts else [])]
+    inside = parent.join(above, "parent_id", "left").withColumns(
+        {
+            "root_id": F.coalesce("root_id", "parent_id"),
+            "path": F.concat(F.coalesce("above", F.array("parent_id")), F.array("node_id")),
+        }
     )
-    return roots.unionByName(inside).select("node_id", "parent_id", "root_id", "depth", "path")
-
-
-def descendant_counts(tree_rows: DataFrame) -> DataFrame:
-    """(node_id, n_descendants) of every node with children: the sum of the children of all nodes in its subtree."""
-    children = tree_rows.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
-    each = tree_rows.select("node_id", "path").join(children, "node_id").select(F.explode("path").alias("node_id"), "n")
-    return each.groupBy("node_id").agg(F.sum("n").alias("n_descendants"))
+    roots = ids.join(links.select(F.col("child").alias("node_id")), "node_id", "left_anti")
+    if counts:
+        roots = roots.join(below, "node_id", "left")
+    roots = roots.withColumns({"parent_id": F.lit(None).cast("string"), "root_id": F.col("node_id"), "path": F.array("node_id")})
+    rows = roots.select(*(n for n in names if n != "depth")).unionByName(inside.select(*(n for n in names if n != "depth")))
+    rows = rows.withColumn("depth", F.size("path") - 1)
+    return (rows.withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0))) if counts else rows).select(*names)
 
 
 def descendants(tree_rows: DataFrame) -> DataFrame:

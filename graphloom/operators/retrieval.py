@@ -60,14 +60,15 @@ def jaccard(documents: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_numbers: int = 8_000_000) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest vectors of each query, exactly.
 
     The queries are a stated set that is held against all rows, in blocks of about
-    ``block`` queries, each of which is broadcast; only k rows a query leave a
-    partition.
+    ``block_numbers`` numbers in all (64 MB), each of which is broadcast; only k rows
+    a query leave a partition.
     """
-    blocks = max(1, -(-queries.count() // block))
+    size = queries.agg(F.sum(F.size("query_vec") + 1).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_numbers))
     parts = []
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)

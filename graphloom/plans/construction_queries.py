@@ -365,4 +365,16 @@ def snippets(spark, sf_dir):
     return docs.select("doc_id", C.snippet(F.col("text"), F.lit("index")).alias("snippet")).where("snippet is not null")
 
 
+@catalog.query(
+    f"""WITH {_SECTIONS}, named AS (SELECT s.doc_id, s.pos, coalesce(s.heading, d.title, 'text') AS heading, trim(s.body) AS body FROM sections s JOIN documents d USING (doc_id) WHERE trim(d.text) <> ''),
+f AS (SELECT doc_id, heading, body, {_norm('heading')} AS key FROM named QUALIFY row_number() OVER (PARTITION BY doc_id, {_norm('heading')} ORDER BY pos) = 1), g AS (SELECT * FROM f WHERE key <> ''),
+p AS (SELECT DISTINCT doc_id, key, {_norm('point')} AS point FROM (SELECT doc_id, key, trim(unnest(regexp_split_to_array(regexp_replace(body, '([.!?。！？]) +', '\\1' || chr(10), 'g'), '[\n；;]'))) AS point FROM g WHERE trim(body) <> '') WHERE {_norm('point')} <> '')
+SELECT 'Episode' AS node_type, count(*) AS n FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'Facet', count(*) FROM g UNION ALL SELECT 'FacetPoint', count(*) FROM p"""
+)
+def written_episodes(spark, sf_dir):
+    """How many nodes of each type the documents give."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "text")
+    return C.write_episodes(docs)[0].groupBy("node_type").agg(F.count("*").alias("n"))
+
+
 QUERIES, ORACLE = catalog.queries, catalog.oracle

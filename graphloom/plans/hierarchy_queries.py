@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import hierarchy
-from graphloom.session import cut_lineage, table
+from graphloom.session import table
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,21 +21,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.cycles(_links(spark, sf_dir))
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.tree(_links(spark, sf_dir), table(spark, sf_dir, "nodes"))
+def _tree(spark: SparkSession, sf_dir: str, counts: bool = False) -> DataFrame:
+    return hierarchy.tree(_links(spark, sf_dir), table(spark, sf_dir, "nodes"), counts=counts)
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut_lineage(_tree(spark, sf_dir))
-    below = hierarchy.descendant_counts(rows)
-    return rows.join(below, "node_id", "left").select(
-        "node_id",
-        "parent_id",
-        "root_id",
-        "depth",
-        F.array_join("path", "/").alias("path"),
-        F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"),
-    )
+    return _tree(spark, sf_dir, counts=True).withColumn("path", F.array_join("path", "/"))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,51 @@ def openapi_endpoints(specs: DataFrame, path_col: str = "path", text_col: str =
     routes = specs.select(F.col(path_col).alias("file"), F.explode(paths).alias("endpoint", "operations"))
     calls = routes.select("file", "endpoint", F.explode("operations").alias("method", "body")).where(F.lower("method").isin(*methods))
     return calls.select("file", "endpoint", F.upper("method").alias("method"), F.get_json_object("body", "$.operationId").alias("operation_id"))
+
+
+def media(spark: SparkSession, path: str, transcripts: DataFrame, extensions: list[str]) -> DataFrame:
+    """(path, length, text) of images or sound below a folder, with the texts (path, text) that a model outside made; null without one."""
+    found = scan(spark, path, extensions).select("path", "length")
+    return found.join(transcripts.select("path", "text"), "path", "left")
+
+
+def classify_input(value: Column) -> Column:
+    """What a caller handed over: url, s3, file (a path with an extension), or text."""
+    return (
+        F.when(value.rlike(r"(?i)^\s*https?://\S+\s*$"), "url")
+        .when(value.rlike(r"(?i)^\s*s3a?://\S+\s*$"), "s3")
+        .when(value.rlike(r"^\s*(?:file://)?(?:[~.]{0,2}/)?[\w.-]+(?:/[\w.-]+)*\.\w{1,8}\s*$"), "file")
+        .otherwise("text")
+    )
+
+
+def html_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles and tags, blocks on lines of their own, the common entities as characters."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
+    t = F.regexp_replace(t, r"(?i)<(?:br|/?(?:p|div|li|tr|h[1-6]|section|article|table|ul|ol))\b[^<>]*>", "\n")
+    t = F.regexp_replace(t, r"<[^<>]*>", "")
+    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(mark))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
+
+
+def pages(rows: DataFrame, rules: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of fetched pages (url, html): a node per page with its text, one per site, an edge from page to site.
+
+    ``rules`` tells which pages may be used; fetching itself is up to the caller.
+    """
+    kept = rows if rules is None else rows.where(rules)
+    p = kept.select("url", html_text(F.col("html")).alias("text"), F.parse_url("url", F.lit("HOST")).alias("host")).where("host is not null").dropDuplicates(["url"])
+    nodes = p.select(F.col("url").alias("id"), F.lit("WebPage").alias("node_type"), "text").unionByName(
+        p.select(F.col("host").alias("id"), F.lit("WebSite").alias("node_type"), F.lit(None).cast("string").alias("text")).distinct()
+    )
+    return nodes, p.select(F.col("url").alias("src"), F.col("host").alias("dst"), F.lit("is_part_of").alias("relationship_name"))
+
+
+def lsif(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a language-server index in JSON lines: documents and ranges, and what contains what or follows."""
+    rows = spark.read.json(path, schema="id string, type string, label string, uri string, outV string, inV string, inVs array<string>, start struct<line:int,character:int>, `end` struct<line:int,character:int>")
+    nodes = rows.where("type = 'vertex' and id is not null").select("id", F.col("label").alias("node_type"), F.col("uri").alias("file_path"), (F.col("start.line") + 1).alias("line_start"), (F.col("end.line") + 1).alias("line_end"))
+    ends = F.coalesce("inVs", F.array("inV"))
+    edges = rows.where("type = 'edge' and outV is not null").select(F.col("outV").alias("src"), F.explode(ends).alias("dst"), F.upper("label").alias("edge_type"))
+    return nodes, edges.where("dst is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,8 @@ def schema_rows(tables: dict[str, DataFrame], specs: tuple[Table, ...] = STAR) -
         for f in tables[t.name].schema.fields:
             out.append((t.name, f.name, f.dataType.simpleString(), f.name == t.key, refs.get(f.name)))
     return out
+
+
+def qualified(reference: Column, schema: str) -> Column:
+    """A referenced table with its schema; one that names a schema itself stays."""
+    return F.when(F.contains(reference, F.lit(".")), reference).otherwise(F.concat(F.lit(schema + "."), reference))

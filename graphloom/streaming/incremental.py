@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphloom.session import ensure_checkpoint_dir
@@ -145,3 +146,10 @@ def apply_changes(nodes: DataFrame, changes: DataFrame, fresh: DataFrame) -> Dat
     touched = changes.select("file_path").distinct()
     alive = changes.where("status <> 'D'").select("file_path").distinct()
     return nodes.join(touched, "file_path", "left_anti").unionByName(fresh.join(alive, "file_path", "left_semi").select(*nodes.columns))
+
+
+def every(stream: DataFrame, folder: str, seconds: int, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """A query that looks for new rows every so many seconds, until it is stopped; it goes on where it stopped."""
+    return (
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=f"{seconds} seconds").start()
+    )
