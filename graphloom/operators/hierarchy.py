@@ -130,12 +130,14 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id", counts: boo
     # only nodes that are parents themselves take part in the rounds; leaves follow their parents at the end
     parents = parent.select(F.col("parent_id").alias("up")).distinct()
     inner = parent.join(parents, parent.node_id == parents.up, "left_semi")
+    own = parent.groupBy("parent_id").agg(F.count("*").alias("n"))
     # open rows point at an ancestor that has a parent itself; done rows at a root
     has_parent = parent.join(parents, parent.node_id == parents.up, "left_semi").select(F.col("node_id").alias("up"), F.lit(True).alias("open"))
     rows = (
-        inner.select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("tail"))
+        inner.join(own.select(F.col("parent_id").alias("node_id"), "n"), "node_id")
+        .select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("tail"), "n")
         .join(has_parent, "up", "left")
-        .select("node_id", "up", "tail", F.coalesce("open", F.lit(False)).alias("open"))
+        .select("node_id", "up", "tail", "n", F.coalesce("open", F.lit(False)).alias("open"))
     )
     rows, left = cut_and_count(rows, "open")
     done = rows.where("not open")
@@ -146,7 +148,7 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id", counts: boo
             F.col("node_id").alias("up"), F.col("up").alias("next_up"), F.col("tail").alias("next_tail"), F.col("open").alias("next_open")
         )
         moved = rows.join(upper, "up").select(
-            "node_id", F.col("next_up").alias("up"), F.concat("next_tail", "tail").alias("tail"), F.col("next_open").alias("open")
+            "node_id", F.col("next_up").alias("up"), F.concat("next_tail", "tail").alias("tail"), "n", F.col("next_open").alias("open")
         )
         moved, left = cut_and_count(moved, "open")
         done = done.unionByName(moved.where("not open"))
@@ -154,8 +156,8 @@ def tree(links: DataFrame, nodes: DataFrame, *, node_id: str = "id", counts: boo
     above = done.select(F.col("node_id").alias("parent_id"), F.col("up").alias("root_id"), F.concat(F.array("up"), "tail").alias("above"))
     if counts:
         # each descendant is the child of one node of the subtree, so the children of all its nodes are summed up
-        children = parent.groupBy("parent_id").agg(F.count("*").alias("n"))
-        each = children.join(above, "parent_id", "left").select(F.explode(F.coalesce("above", F.array("parent_id"))).alias("node_id"), "n")
+        upwards = F.concat(F.array("up"), F.slice("tail", 1, F.size("tail") - 1))
+        each = done.select(F.explode(upwards).alias("node_id"), "n").unionByName(own.select(F.col("parent_id").alias("node_id"), "n"))
         below = cut_lineage(each.groupBy("node_id").agg(F.sum("n").alias("n_descendants")))
         # joined before the paths are, so that the rows are narrow
         parent = parent.join(below, "node_id", "left")

@@ -80,8 +80,8 @@ def document_kind(path: Column) -> Column:
 def path_after(base: str, url: Column) -> Column:
     """The path of a URL after that of a base; null on another host, the full path if the base is no prefix."""
     b = F.lit(base)
-    base_path, path = F.rtrim(F.coalesce(F.parse_url(b, F.lit("PATH")), F.lit("")), F.lit("/")), F.parse_url(url, F.lit("PATH"))
-    same = F.parse_url(url, F.lit("HOST")) == F.parse_url(b, F.lit("HOST"))
+    base_path, path = F.rtrim(F.coalesce(F.try_parse_url(b, F.lit("PATH")), F.lit("")), F.lit("/")), F.try_parse_url(url, F.lit("PATH"))
+    same = F.try_parse_url(url, F.lit("HOST")) == F.try_parse_url(b, F.lit("HOST"))
     return F.when(same, F.when(path.startswith(base_path), F.substr(path, F.length(base_path) + 1)).otherwise(path))
 
 
@@ -129,7 +129,7 @@ def pages(rows: DataFrame, rules: Column | None = None) -> tuple[DataFrame, Data
     ``rules`` tells which pages may be used; fetching itself is up to the caller.
     """
     kept = rows if rules is None else rows.where(rules)
-    p = kept.select("url", html_text(F.col("html")).alias("text"), F.parse_url("url", F.lit("HOST")).alias("host")).where("host is not null").dropDuplicates(["url"])
+    p = kept.select("url", html_text(F.col("html")).alias("text"), F.try_parse_url("url", F.lit("HOST")).alias("host")).where("host is not null").dropDuplicates(["url"])
     nodes = p.select(F.col("url").alias("id"), F.lit("WebPage").alias("node_type"), "text").unionByName(
         p.select(F.col("host").alias("id"), F.lit("WebSite").alias("node_type"), F.lit(None).cast("string").alias("text")).distinct()
     )
