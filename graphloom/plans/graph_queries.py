@@ -518,7 +518,7 @@ def spanning_tree(spark, sf_dir):
     return traversal.reach(code_edges(spark, sf_dir, "CALLS"), _sources(spark, sf_dir), 3)
 
 
-_COMMUNITY_SQL = (
+COMMUNITY_SQL = (
     f"{EDGES_SQL}, g AS (SELECT src, dst FROM e WHERE edge_type IN ('CALLS', 'DEPENDS_ON') AND src <> dst), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), l0 AS (SELECT DISTINCT src AS id, src AS community FROM b)"
     + "".join(
         f", v{k} AS (SELECT b.src, community, count(*) AS n FROM b JOIN l{k} ON l{k}.id = b.dst GROUP BY 1, 2), l{k + 1} AS (SELECT src AS id, community FROM v{k} QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, community) = 1)"
@@ -528,7 +528,7 @@ _COMMUNITY_SQL = (
 
 
 @catalog.query(
-    f"""WITH {_COMMUNITY_SQL}, w AS (SELECT DISTINCT community, unnest(string_split(regexp_replace(lower(regexp_replace(n.node_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM l5 JOIN n USING (id) WHERE n.node_name IS NOT NULL),
+    f"""WITH {COMMUNITY_SQL}, w AS (SELECT DISTINCT community, unnest(string_split(regexp_replace(lower(regexp_replace(n.node_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM l5 JOIN n USING (id) WHERE n.node_name IS NOT NULL),
 q(word) AS (VALUES ('load'), ('index'), ('layer'), ('merge'), ('queue')), t AS (SELECT community, count(*) AS hits, row_number() OVER (ORDER BY count(*) DESC, community) AS rank FROM w JOIN q USING (word) GROUP BY 1),
 m AS (SELECT t.community, t.rank, n.id, n.node_name, row_number() OVER (PARTITION BY t.community ORDER BY n.id) AS place FROM t JOIN l5 USING (community) JOIN n USING (id) WHERE t.rank <= 3)
 SELECT community, rank, id, node_name FROM m WHERE place <= 10"""
@@ -548,7 +548,7 @@ def community_retrieval(spark, sf_dir):
     return members.where("place <= 10").select("community", "rank", "id", "node_name")
 
 
-@catalog.query(f"WITH {_COMMUNITY_SQL} SELECT id, community FROM l5")
+@catalog.query(f"WITH {COMMUNITY_SQL} SELECT id, community FROM l5")
 def communities(spark, sf_dir):
     """Deterministic label propagation over calls and dependencies."""
     return traversal.label_propagation(code_edges(spark, sf_dir, "CALLS", "DEPENDS_ON"))

@@ -120,7 +120,8 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^<>]*>", "")
     for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def pages(rows: DataFrame, rules: Column | None = None) -> tuple[DataFrame, DataFrame]:
