@@ -17,6 +17,11 @@ ROLE_MARK = "【+】"
 _ROLES = r"【\+】"
 
 
+def strip(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
+
+
 def sections(documents: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``documents`` with pos, heading and body of each section; no heading where a text has no sections.
 
@@ -147,7 +152,7 @@ def step_points(rows: DataFrame, key: str, text: str) -> DataFrame:
     lines the smallest number stays.
     """
     lines = rows.select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?+", "\n"), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.trim("line")).where("char_length(line) >= 5")
+    lines = lines.withColumn("line", strip(F.col("line"))).where("char_length(line) >= 5")
     lines = lines.withColumn("given", F.nullif(F.regexp_extract("line", r"^([0-9]{1,4})[.)、] *", 1), F.lit("")).cast("int"))
     w = Window.partitionBy(key).orderBy("pos")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -166,7 +171,7 @@ def context_points(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFra
     each = rows.select(key, F.explode(listed).alias("f")).where("trim(f.text) <> ''")
     cut = F.regexp_replace("f.text", r"([.!?。！？]) +", "$1\n")
     parts = each.select(key, F.col("f.k").alias("_field"), "f.kind", F.posexplode(F.split(cut, "[\n；;]")).alias("pos", "point"))
-    parts = parts.withColumn("point", F.trim("point")).withColumn("_same", T.normalize_for_id(F.col("point"))).where("_same <> ''")
+    parts = parts.withColumn("point", strip(F.col("point"))).withColumn("_same", T.normalize_for_id(F.col("point"))).where("_same <> ''")
     first = parts.groupBy(key, "_same").agg(F.min(F.struct("_field", "pos", "kind", "point")).alias("b"))
     return first.select(key, "b.kind", "b.pos", "b.point")
 

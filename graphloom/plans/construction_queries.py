@@ -16,6 +16,10 @@ catalog = Catalog()
 _MARK = C.ROLE_MARK
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 def _norm(x: str) -> str:
     return f"regexp_replace(lower(translate({x}, '{T.WIDE}', '{T.NARROW}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
@@ -185,7 +189,7 @@ def document_routing(spark, sf_dir):
 
 @catalog.query(
     rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-a AS (SELECT doc_id, pos, trim(line) AS line, TRY_CAST(nullif(regexp_extract(trim(line), '^([0-9]{{1,4}})[.)、] *', 1), '') AS INT) AS given FROM l WHERE length(trim(line)) >= 5),
+a AS (SELECT doc_id, pos, line, TRY_CAST(nullif(regexp_extract(line, '^([0-9]{{1,4}})[.)、] *', 1), '') AS INT) AS given FROM (SELECT doc_id, pos, {_strip('line')} AS line FROM l) WHERE length(line) >= 5),
 b AS (SELECT *, row_number() OVER w AS n, last_value(given IGNORE NULLS) OVER w AS last FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, last_value(CASE WHEN given IS NOT NULL THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS since FROM b),
 p AS (SELECT doc_id, pos, coalesce(last + n - since, n) AS step_no, regexp_replace(line, '^[0-9]{{1,4}}[.)、] *|^[-*•] +', '') AS point FROM c),
@@ -199,7 +203,7 @@ def step_points(spark, sf_dir):
 @catalog.query(
     rf"""WITH {MEMORY_SQL}, f AS (SELECT id, 0 AS k, 'when' AS kind, summary AS text FROM m UNION ALL SELECT id, 1, 'why', description FROM m UNION ALL SELECT id, 2, 'boundary', search_text FROM m),
 s AS (SELECT id, k, kind, regexp_split_to_array(regexp_replace(text, '([.!?。！？]) +', '\1' || chr(10), 'g'), '[\n；;]') AS parts FROM f WHERE trim(text) <> ''),
-p AS (SELECT id, k, kind, unnest(range(len(parts))) AS pos, parts FROM s), q AS (SELECT id, k, kind, pos, trim(parts[pos + 1]) AS point FROM p), r AS (SELECT *, {_norm('point')} AS key FROM q)
+p AS (SELECT id, k, kind, unnest(range(len(parts))) AS pos, parts FROM s), q AS (SELECT id, k, kind, pos, {_strip('parts[pos + 1]')} AS point FROM p), r AS (SELECT *, {_norm('point')} AS key FROM q)
 SELECT id, kind, pos, point FROM r WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY id, key ORDER BY k, pos) = 1"""
 )
 def context_points(spark, sf_dir):
