@@ -365,12 +365,16 @@ FULL_QUESTIONS = "多少 几个 几条 几项 哪些 哪个 哪里 哪儿 多久
 _AMOUNT = r"(\d+\.?\d*[%％]?[万亿千百十个元块美金日月年周天小时分秒倍次条台件套人名位家批轮期季度]*)"
 
 
+_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
 def _without(text: Column, words: list[str]) -> Column:
-    return F.trim(reduce(lambda t, w: F.replace(t, F.lit(w), F.lit("")), words, text))
+    return F.regexp_replace(reduce(lambda t, w: F.replace(t, F.lit(w), F.lit("")), words, text), _ENDS, "")
 
 
 def _without_sql(text: str, words: list[str]) -> str:
-    return f"trim({reduce(lambda t, w: f'replace({t}, {quote(w)}, {quote(str())})', words, text)})"
+    bare = reduce(lambda t, w: f"replace({t}, {quote(w)}, '')", words, text)
+    return f"regexp_replace({bare}, {quote(_ENDS)}, '', 'g')"
 
 
 def vector_query(text: Column) -> Column:
